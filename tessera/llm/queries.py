@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, sharding
+from tessera.llm import decontaminate, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the pseudonyms; in production it comes from a secret store.
+PII_KEY = "tessera-demonstration-key"
+
+
+def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY, found="pii_kinds")
+    return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("pii_kinds"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.scan(docs, items, keep=["doc_id"])
@@ -42,6 +51,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_feistel": op5_feistel,
     "op8_winnowing": op8_winnowing,
     "op9_rendezvous": op9_rendezvous,
     "op10_sum_of_squares": op10_sum_of_squares,
