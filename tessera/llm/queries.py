@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, pii, sharding
+from tessera.llm import decontaminate, packing, pii, quality, sharding
+from tessera.llm.common import text_crc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(F.pmod(text_crc("doc_id"), F.lit(3)) != 1)
+    scored = quality.score(docs, quality.fit(docs, labels), keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        (F.pmod(text_crc("doc_id"), F.lit(3)) == 1).alias("held_out"),
+        "score",
+        quality.passes(F.col("score")).cast("int").alias("predicted"),
+    )
+
+
 #: The key of the pseudonyms; in production it comes from a secret store.
 PII_KEY = "tessera-demonstration-key"
 
@@ -51,6 +64,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op5_feistel": op5_feistel,
     "op8_winnowing": op8_winnowing,
     "op9_rendezvous": op9_rendezvous,
