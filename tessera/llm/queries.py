@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, pii, quality, sharding
+from tessera.llm import decontaminate, langid, packing, pii, quality, sharding
 from tessera.llm.common import text_crc
 
 
@@ -36,6 +36,13 @@ def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(text_crc("doc_id"), F.lit(4)) == 2
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.scan(docs, items, keep=["doc_id"])
@@ -66,6 +73,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": op1_bradley_terry,
     "op5_feistel": op5_feistel,
+    "op6_cross_parsing": op6_cross_parsing,
     "op8_winnowing": op8_winnowing,
     "op9_rendezvous": op9_rendezvous,
     "op10_sum_of_squares": op10_sum_of_squares,
