@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, pii, quality, sharding
-from tessera.llm.common import text_crc
+from tessera.llm import decontaminate, langid, packing, pii, quality, sharding, warc
+from tessera.llm.common import scratch, text_crc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    pages = warc.read(spark, path, payload=False)
+    return pages.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"), "valid",
+    )
+
+
 #: The key of the pseudonyms; in production it comes from a secret store.
 PII_KEY = "tessera-demonstration-key"
 
@@ -72,10 +82,20 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": op1_bradley_terry,
+    "op2_segments": op2_segments,
     "op5_feistel": op5_feistel,
     "op6_cross_parsing": op6_cross_parsing,
     "op8_winnowing": op8_winnowing,
     "op9_rendezvous": op9_rendezvous,
     "op10_sum_of_squares": op10_sum_of_squares,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_segments": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to, true AS valid
+        FROM p LEFT JOIN f ON p.d = f.d
+    """,
+}
