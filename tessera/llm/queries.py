@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, pii, quality, sharding, warc
+from tessera.llm import decontaminate, langid, packing, pii, quality, sharding, topk, warc
 from tessera.llm.common import scratch, text_crc
 
 
@@ -37,6 +37,10 @@ def op2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 #: The key of the pseudonyms; in production it comes from a secret store.
 PII_KEY = "tessera-demonstration-key"
 
@@ -83,6 +87,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_segments": op2_segments,
+    "op3_pivot_distance": op3_pivot_distance,
     "op5_feistel": op5_feistel,
     "op6_cross_parsing": op6_cross_parsing,
     "op8_winnowing": op8_winnowing,
@@ -98,4 +103,12 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to, true AS valid
         FROM p LEFT JOIN f ON p.d = f.d
     """,
+    "op3_pivot_distance": """
+        WITH c AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+              FROM c AS q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
 }
