@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, pii, quality, sharding, topk, warc
+from tessera.llm import decontaminate, langid, neardup, packing, pii, quality, sharding, topk, warc
 from tessera.llm.common import scratch, text_crc
 
 
@@ -57,6 +57,10 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.scan(docs, items, keep=["doc_id"])
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_distance": op3_pivot_distance,
     "op5_feistel": op5_feistel,
     "op6_cross_parsing": op6_cross_parsing,
+    "op7_bagminhash": op7_bagminhash,
     "op8_winnowing": op8_winnowing,
     "op9_rendezvous": op9_rendezvous,
     "op10_sum_of_squares": op10_sum_of_squares,
