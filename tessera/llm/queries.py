@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, neardup, packing, pii, quality, sharding, topk, warc
+from tessera.llm import decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, topk, warc
 from tessera.llm.common import scratch, text_crc
 
 
@@ -41,6 +41,16 @@ def op3_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
+def op4_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("notices.license"))), ",").alias("licenses"),
+        F.to_json("notices").alias("notices"),
+    )
+
+
 #: The key of the pseudonyms; in production it comes from a secret store.
 PII_KEY = "tessera-demonstration-key"
 
@@ -92,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_segments": op2_segments,
     "op3_pivot_distance": op3_pivot_distance,
+    "op4_conditional_compression": op4_conditional_compression,
     "op5_feistel": op5_feistel,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_bagminhash": op7_bagminhash,
