@@ -1,11 +1,27 @@
-"""The training-data pipeline: filter, deduplicate, decontaminate, pseudonymise, pack."""
+"""The training-data pipeline: filter by quality, deduplicate, decontaminate, pseudonymise, pack.
+
+Each stage takes the documents that its predecessor kept. All but the last return the columns
+of documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, neardup, packing, pii, quality
 from tessera.llm.common import stored
+from tessera.llm.queries import PII_KEY, tokenizer_path
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go; it learns from all labels."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of exact and near copies the document of the least id stays."""
+    return neardup.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +29,22 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms of their format; n_chars follows the text."""
+    return pii.pseudonymize(docs, PII_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 2048: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality classifier", good),
+    ("near-duplicates", distinct),
     ("decontamination", decontaminated),
+    ("pii", pseudonymised),
+    ("packing", packed),
 ]
 
 #: Learned scores, signatures, keyed permutations and token ids: SQL can't express the rows.
@@ -24,8 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, f"pipeline-{k + 1}")
     return docs

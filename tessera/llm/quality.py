@@ -188,3 +188,9 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", keep: lis
 
 def passes(score_column: Column) -> Column:
     return score_column >= 0.5
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that a model of these labels does not reject, with their own columns."""
+    scored = score(docs, fit(docs, labels, **options), text=options.get("text", "text"), name="__score")
+    return scored.where(passes(F.col("__score"))).drop("__score")
