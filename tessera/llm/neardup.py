@@ -39,6 +39,8 @@ from tessera.llm.components import components
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 48
 SKETCHED = SIMILARITY - 4 * (0.8125 * 0.1875 / B.COMPONENTS) ** 0.5 / (15 / 16)
 HUB_SAMPLE, PACKET, MEMBERS_PER_SALT = 64, 256, 4096
+#: Rows that Python gets at once where a row holds two packets, or two multisets.
+PACKET_ROWS, BAG_ROWS = 16, 512
 #: Bits of the filter that keeps unneeded texts from the shuffle: 8 for each document wanted, within these.
 _FILTER_BITS = (1 << 16, 1 << 28)
 
@@ -268,7 +270,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     bags = stored(_bags(docs, in_buckets, key, text), "neardup-bags")
 
     pairs = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    links = stored(_verified(pairs, bags, threshold), "neardup-links")
+    links = stored(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
     label = stored(components(links), "neardup-labels")
 
     named = in_buckets.select("node", "weight", "sketch", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -277,8 +279,8 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     light = members.join(named.select("node", "label"), "node").join(with_hub, "key")
     mixed = light.where("label <> hub_label").select("key").distinct()
     left = stored(light.join(mixed, "key", "left_semi"), "neardup-mixed")
-    rest = _rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched)
-    more = _verified(rest, bags, threshold)
+    rest = stored(_rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched), "neardup-rest", PACKET_ROWS)
+    more = stored(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
     edges = label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
     label = components(edges).withColumnRenamed("label", "class")
 
