@@ -1,0 +1 @@
+"""Spark analytics for matching noisy business records across sources."""
