@@ -127,4 +127,28 @@ SQL: dict[str, str] = {
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op8_winnowing": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        iw AS (SELECT DISTINCT item, list_slice(w, p, p + 9) AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT len(g) AS n FROM iw),
+        dw AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes)),
+        h AS (SELECT doc_id, p, n, item FROM dw JOIN iw USING (g)),
+        hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+    """,
+    # crc32 bit by bit over the hexadecimal bytes; 3988292384 is its polynomial
+    "op9_rendezvous": """
+        WITH k AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(doc_id::VARCHAR, '') AS name FROM documents),
+        c AS (SELECT doc_id, body, name, s, ('0x' || substr(md5(name || ':' || s), 1, 13))::BIGINT AS u FROM k, range(25) AS t(s)),
+        b AS (SELECT doc_id, body, name, arg_max(s, u) FILTER (s < 24) AS shard, arg_max(s, u) AS grown FROM c GROUP BY ALL),
+        t AS (SELECT list(list_reduce(range(8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n::BIGINT) ORDER BY n) AS crc FROM range(256) AS r(n)),
+        z AS (SELECT *, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: ('0x' || h)::BIGINT),
+                lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, t)
+        SELECT doc_id, octet_length(encode(body)) + 8 AS size, text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(name), 1, 13))::BIGINT, doc_id) - 1 AS slot
+        FROM z
+    """,
 }

@@ -34,6 +34,8 @@ from pyspark.sql.window import Window
 from tessera.llm.common import sample_share, stored
 
 PIVOTS, RINGS, SAMPLE_ROWS, BLOCK_ROWS, PACKET_ROWS, BLOCKS_PER_KEY = 16, 8, 2048, 2048, 256, 64
+#: Rows that Python gets at once where a row holds a packet and a block.
+MEETING_ROWS = 8
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
@@ -291,11 +293,11 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), pa.nulls(batch.num_rows, pa.int64())], names=["qid", "qv", "bound"])
 
     asked = stored(queries.mapInArrow(wide, "qid long, qv binary, bound long").distinct(), "topk-queries")
-    seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds")
+    seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds", MEETING_ROWS)
     best = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
     ranked = seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), "qv", F.col("score").alias("bound"))
     bounded = asked.drop("bound").join(bounds, ["qid", "qv"], "left")
-    rest = _visit(_expand(bounded, shared, rings, False), index, sizes, shared, k)
+    rest = stored(_visit(_expand(bounded, shared, rings, False), index, sizes, shared, k), "topk-rest", MEETING_ROWS)
     final = ranked.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return final.select("query_id", "rank", "vec_id", "score")

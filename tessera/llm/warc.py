@@ -27,7 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import batches_of
+
 REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 100, 16 << 10, 4096, 4096
+#: Pages that Python gets at once; they may be large.
+PAGES_AT_ONCE = 256
 _END = b"\r\n\r\n"
 _BATCH_BYTES = 4 << 20
 
@@ -116,7 +120,8 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", uri: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with batches_of(pages.sparkSession, PAGES_AT_ONCE):
+        records.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
