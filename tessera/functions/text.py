@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Terminal legal forms of business names, as an alternation.
 LEGAL_FORMS = (
@@ -15,7 +16,7 @@ LEGAL_FORMS = (
 )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkd(column: pa.Array) -> pa.Array:
     """Unicode compatibility decomposition, the one step that SQL functions lack."""
     return pc.utf8_normalize(column, form="NFKD")
