@@ -109,7 +109,9 @@ class Model:
     cut: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_centred(x, self.mean) @ self.weights - self.cut, -30, 30)))
+        # summed row by row, so that a text's score does not depend on its batch
+        rank = (_centred(x, self.mean) * self.weights).sum(1)
+        return 1 / (1 + np.exp(-np.clip(rank - self.cut, -30, 30)))
 
 
 def _centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, *, pairs: int = MAX_PAIRS,
         if np.abs(step).max() < 1e-4:
             break
     weights = w * scale
-    scores = np.sort(both @ weights)
+    scores = np.sort((both * weights).sum(1))
     k = len(bad)  # the quantile at the share of bad rows, between its neighbours
     return Model(mean, weights, float((scores[k - 1] + scores[min(k, len(scores) - 1)]) / 2))
 
