@@ -20,7 +20,7 @@ from tessera.llm.words import mix
 
 COMPONENTS = 512
 _SALT = np.uint64(0xA24BAED4963EE407)
-_MOST_CELLS = 1 << 20
+_MOST_CELLS = 1 << 17
 _MASK = (1 << 64) - 1
 
 

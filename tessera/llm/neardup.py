@@ -39,8 +39,8 @@ from tessera.llm.components import components
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 48
 SKETCHED = SIMILARITY - 4 * (0.8125 * 0.1875 / B.COMPONENTS) ** 0.5 / (15 / 16)
 HUB_SAMPLE, PACKET, MEMBERS_PER_SALT = 64, 256, 4096
-#: Rows that Python gets at once where a row holds two packets, or two multisets.
-PACKET_ROWS, BAG_ROWS = 16, 512
+#: Rows that Python gets at once where a row holds two packets, two multisets, or a text.
+PACKET_ROWS, BAG_ROWS, TEXT_ROWS = 16, 512, 2000
 #: Bits of the filter that keeps unneeded texts from the shuffle: 8 for each document wanted, within these.
 _FILTER_BITS = (1 << 16, 1 << 28)
 
@@ -258,7 +258,7 @@ def _rest_pairs(members: DataFrame, threshold: float, sketched: float) -> DataFr
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, sketched: float = SKETCHED) -> DataFrame:
     """id, class_id (the least id of its class) and text_class (of those with its multiset) of
     every document."""
-    rows = stored(_signed(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "neardup-signed")
+    rows = stored(_signed(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
     nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "sketch")])
     nodes = stored(nodes, "neardup-nodes")
     band_rows = _band_rows(nodes)
@@ -267,7 +267,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     in_buckets = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "neardup-candidates")
     sketched_members = members.join(in_buckets.select("node", "sketch"), "node")
     hubs = stored(_hubs(sketched_members), "neardup-hubs")
-    bags = stored(_bags(docs, in_buckets, key, text), "neardup-bags")
+    bags = stored(_bags(docs, in_buckets, key, text), "neardup-bags", TEXT_ROWS)
 
     pairs = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     links = stored(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
