@@ -26,7 +26,8 @@ def gram_counts(entities: DataFrame, low: int, high: int, text: str = "norm_name
 def vocabulary(counts: DataFrame, targets: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """country, gram, df and idf of the grams that enough and not too many targets have."""
     sizes = targets.groupBy("country").agg(F.count("*").alias("n"))
-    frequency = counts.groupBy("country", "gram").agg(F.count("*").alias("df"))
+    # counting by tf keeps that column, so the counts' exchange is the one that the weights use
+    frequency = counts.groupBy("country", "gram").agg(F.count_if(F.col("tf") > 0).alias("df"))
     kept = frequency.join(sizes, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     return kept.select("country", "gram", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
@@ -34,8 +35,8 @@ def vocabulary(counts: DataFrame, targets: DataFrame, min_df: int = MIN_DF, max_
 def weights(counts: DataFrame, words: DataFrame) -> DataFrame:
     """Weights of length 1 for each entity over the grams of the vocabulary."""
     raw = counts.join(words, ["country", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "entity_id").select("entity_id", "country", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))  # the grams of one name
+    return raw.select("entity_id", "country", "gram", (F.col("w") / norm).alias("weight"))
 
 
 def top_k(queries: DataFrame, targets: DataFrame, low: int, high: int, k: int = 50, **limits) -> DataFrame:
