@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, neardup, packing, pii, quality
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 from tessera.llm.queries import PII_KEY, tokenizer_path
 
 
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables: list[str] = []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{k + 1}")
+            served = tables.copy()
+            docs = stored(docs, f"pipeline-{k + 1}", into=tables)
+            discard(spark, served)
     return docs

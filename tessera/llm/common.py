@@ -39,11 +39,23 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        where = hadoop(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None, into: list[str] | None = None) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: lineage ends here.
 
-    `batch_rows` bounds what Python gets at once, for plans whose rows are large."""
+    `batch_rows` bounds what Python gets at once, for plans whose rows are large. The folder's
+    path is added to `into`, for `discard` when the table has served."""
     path = scratch(df.sparkSession, name)
+    if into is not None:
+        into.append(path)
     with batches_of(df.sparkSession, batch_rows) if batch_rows else nullcontext():
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,21 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of all nodes with an edge; edges: u, v."""
-    now, before = stored(_ordered(edges), "components"), None
+def components(edges: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """node, label (the least node of its component) of all nodes with an edge; edges: u, v.
+
+    The path of the last round's table, which the result reads, is added to `into`."""
+    spark, used = edges.sparkSession, []
+    now, before = stored(_ordered(edges), "components", into=used), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-        now = stored(_ordered(_small_star(_ordered(_large_star(now)))), "components")
+        old, used = used, []
+        now = stored(_ordered(_small_star(_ordered(_large_star(now)))), "components", into=used)
+        discard(spark, old)
+    if into is not None:
+        into += used
     # now each node hangs on the least one of its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

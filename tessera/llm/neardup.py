@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bagminhash as B
 from tessera.llm import words as W
-from tessera.llm.common import stored, tiles, utf8_buffers
+from tessera.llm.common import discard, stored, tiles, utf8_buffers
 from tessera.llm.components import components
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 48
@@ -258,42 +259,47 @@ def _rest_pairs(members: DataFrame, threshold: float, sketched: float) -> DataFr
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, sketched: float = SKETCHED) -> DataFrame:
     """id, class_id (the least id of its class) and text_class (of those with its multiset) of
     every document."""
-    rows = stored(_signed(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
+    tables: list[str] = []
+    kept = partial(stored, into=tables)
+    rows = kept(_signed(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
     nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "sketch")])
-    nodes = stored(nodes, "neardup-nodes")
+    nodes = kept(nodes, "neardup-nodes")
     band_rows = _band_rows(nodes)
     shared = band_rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(band_rows.join(shared, "key"), "neardup-buckets")
-    in_buckets = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "neardup-candidates")
+    members = kept(band_rows.join(shared, "key"), "neardup-buckets")
+    in_buckets = kept(nodes.join(members.select("node").distinct(), "node", "left_semi"), "neardup-candidates")
     sketched_members = members.join(in_buckets.select("node", "sketch"), "node")
-    hubs = stored(_hubs(sketched_members), "neardup-hubs")
-    bags = stored(_bags(docs, in_buckets, key, text), "neardup-bags", TEXT_ROWS)
+    hubs = kept(_hubs(sketched_members), "neardup-hubs")
+    bags = kept(_bags(docs, in_buckets, key, text), "neardup-bags", TEXT_ROWS)
 
     pairs = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    links = stored(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
-    label = stored(components(links), "neardup-labels")
+    links = kept(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
+    label = kept(components(links, tables), "neardup-labels")
 
     named = in_buckets.select("node", "weight", "sketch", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     with_hub = hubs.join(named.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub").select("key", "hub_label")
     # only buckets that hold several components go on
     light = members.join(named.select("node", "label"), "node").join(with_hub, "key")
     mixed = light.where("label <> hub_label").select("key").distinct()
-    left = stored(light.join(mixed, "key", "left_semi"), "neardup-mixed")
-    rest = stored(_rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched), "neardup-rest", PACKET_ROWS)
-    more = stored(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
+    left = kept(light.join(mixed, "key", "left_semi"), "neardup-mixed")
+    rest = kept(_rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched), "neardup-rest", PACKET_ROWS)
+    more = kept(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
     edges = label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
-    label = components(edges).withColumnRenamed("label", "class")
+    label = components(edges, tables).withColumnRenamed("label", "class")
 
     classed = nodes.select("node", "id", "f1", "f2").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = classed.groupBy("class").agg(F.min("id").alias("class_id"))
     named_nodes = classed.join(least, "class").select("f1", "f2", F.col("id").alias("text_class"), "class_id")
-    return rows.select("id", "f1", "f2").join(named_nodes, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "text_class")
+    out = rows.select("id", "f1", "f2").join(named_nodes, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "text_class")
+    out = stored(out, "neardup-classes")
+    discard(docs.sparkSession, tables)
+    return out
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with their columns, of each class only that of the least id. Rows without
     an id cannot be told apart and stay; of rows that repeat id and text one stays."""
-    found = stored(classes(docs, key=key, text=text, **options), "neardup-classes")
+    found = classes(docs, key=key, text=text, **options)
     dropped = found.where(F.col(key) != F.col("class_id")).select(key).distinct()
     kept = docs.join(dropped, key, "left_anti")
     if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1):

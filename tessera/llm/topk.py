@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import sample_share, stored
+from tessera.llm.common import discard, sample_share, stored
 
 PIVOTS, RINGS, SAMPLE_ROWS, BLOCK_ROWS, PACKET_ROWS, BLOCKS_PER_KEY = 16, 8, 2048, 2048, 256, 64
 #: Rows that Python gets at once where a row holds a packet and a block.
@@ -117,7 +117,8 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 _BLOCK = "pivot int, ring int, low double, high double, n int, ids binary, vectors binary"
 
 
-def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Space] | None:
+def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
+          into: list[str] | None = None) -> tuple[DataFrame, Space] | None:
     """The blocks of the index, stored, and its space; None of no vectors. Takes id and v."""
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
@@ -170,7 +171,7 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
 
     order = ["pivot", "ring", "distance", "id", "v"]
     sorted_rows = vectors.mapInArrow(keyed, "pivot int, ring int, distance double, id long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(sorted_rows.mapInArrow(blocks, _BLOCK), "topk-index"), space
+    return stored(sorted_rows.mapInArrow(blocks, _BLOCK), "topk-index", into=into), space
 
 
 _QUERY = "pivot int, ring int, qid long, qv binary, distance double, bound long, radius double"
@@ -274,7 +275,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
     `is_query` is a condition on the column id."""
     spark = vectors.sparkSession
     rows = integers(vectors, key, vector)
-    built = build(rows, **options)
+    tables: list[str] = []
+    built = build(rows, into=tables, **options)
     if built is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     index, space = built
@@ -292,12 +294,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
             packed = [row.tobytes() for row in _matrix(batch.column("v"), width).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), pa.nulls(batch.num_rows, pa.int64())], names=["qid", "qv", "bound"])
 
-    asked = stored(queries.mapInArrow(wide, "qid long, qv binary, bound long").distinct(), "topk-queries")
-    seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds", MEETING_ROWS)
+    asked = stored(queries.mapInArrow(wide, "qid long, qv binary, bound long").distinct(), "topk-queries", into=tables)
+    seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds", MEETING_ROWS, tables)
     best = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
     ranked = seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), "qv", F.col("score").alias("bound"))
     bounded = asked.drop("bound").join(bounds, ["qid", "qv"], "left")
-    rest = stored(_visit(_expand(bounded, shared, rings, False), index, sizes, shared, k), "topk-rest", MEETING_ROWS)
+    rest = stored(_visit(_expand(bounded, shared, rings, False), index, sizes, shared, k), "topk-rest", MEETING_ROWS, tables)
     final = ranked.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return final.select("query_id", "rank", "vec_id", "score")
+    out = stored(final.select("query_id", "rank", "vec_id", "score"), "topk")
+    discard(spark, tables)
+    return out
