@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import audit, evaluate, hardneg, retrieval, signals, split
+from tessera.session import ship
 from tessera.sources import sinks, tables
 
 KS = [5, 10, 20, 50]
@@ -21,7 +22,7 @@ class Bound:
     """The tables of one folder, as lazy plans that are built when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.raw = tables.bound_records(spark, sf_dir)
 
     @property

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +21,19 @@ def session(app: str = "tessera", master: str | None = None, *, memory: str | No
         if value is not None:
             builder = builder.config(name, str(value))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once a session, for Python workers that lack it."""
+    context = spark.sparkContext
+    if not getattr(context, "_tessera_shipped", False):
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="tessera-")  # the driver's own copy, which Spark hands on
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder, "tessera.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._tessera_shipped = True
+    return spark
