@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, neardup, packing, pii, quality
 from tessera.llm.common import discard, stored
 from tessera.llm.queries import PII_KEY, tokenizer_path
+from tessera.session import ship
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go; it learns from all labels."""
+    ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of exact and near copies the document of the least id stays."""
+    ship(spark)
     return neardup.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -36,6 +40,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 2048: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path())
 
 

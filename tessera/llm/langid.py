@@ -7,7 +7,8 @@ logarithm of that language's text length, and the language of least cost per byt
 Learned on the driver from at most `passages` passages of `passage_bytes` characters a
 language, from rows drawn by hash of the id and from a hashed place in each; at most
 `languages` languages, the most frequent. The automata are dense tables of `table_bytes`
-together. Predictions read whole texts in one pass without a shuffle; texts are parsed in
+together. Passages that automata of the other half of them give to another language are
+left out. Predictions read whole texts in one pass without a shuffle; texts are parsed in
 pieces of `_STEP` bytes, many pieces at a time.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no row has
@@ -150,6 +151,24 @@ class Parser:
         return best, 1 / share
 
 
+def agreeing(texts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """The passages whose label holds when automata of the other half of the passages read them:
+    a passage under a wrong label, or a copy of one, would draw whole texts to that language.
+    Where that would leave a language without passages, all of its stay."""
+    halves = [{k: [x for i, x in enumerate(v) if i % 2 == half] for k, v in texts.items()} for half in (0, 1)]
+    kept: dict[str, list[bytes]] = {k: [] for k in texts}
+    for half in (0, 1):
+        other = Parser({k: v for k, v in halves[1 - half].items() if v})
+        for name, passages in halves[half].items():
+            if not passages or len(other.languages) < 2:
+                kept[name] += passages
+                continue
+            data = np.frombuffer(b"".join(passages), np.uint8)
+            best, _ = other.predict(data, np.concatenate([[0], np.cumsum([len(x) for x in passages])]))
+            kept[name] += [x for x, k in zip(passages, best, strict=True) if other.languages[k] == name]
+    return {k: kept[k] or v for k, v in texts.items()}
+
+
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", passages: int = PASSAGES,
         passage_chars: int = PASSAGE_CHARS, languages: int = LANGUAGES) -> Parser:
     """Automata of the languages of these labelled documents."""
@@ -166,8 +185,9 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
     found = chosen.select("lang", "draw", F.lower(passage).alias("t")).collect()  # about `passages` a language
     texts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["t"])):
-        texts[r["lang"]].append(r["t"].encode())
-    return Parser({k: v for k, v in texts.items() if v})
+        if (passage := r["t"].encode()) not in texts[r["lang"]]:
+            texts[r["lang"]].append(passage)
+    return Parser(agreeing({k: v for k, v in texts.items() if v}))
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:

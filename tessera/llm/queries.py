@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, topk, warc
 from tessera.llm.common import scratch, text_crc
+from tessera.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(rows[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) / len(held) >= 0.97
 
 
+def test_wrong_labels_are_left_out():
+    english, german = (["the cat and the dog went home " + w for w in "abcdef"], ["der hund und die katze gingen heim " + w for w in "abcdef"])
+    texts = {"en": [x.encode() for x in english] + [german[5].encode()], "de": [x.encode() for x in german[:5]]}
+    kept = L.agreeing(texts)
+    assert kept["de"] == texts["de"][::2] + texts["de"][1::2] and german[5].encode() not in kept["en"] and len(kept["en"]) == 6
+
+
 def test_edges(frame, edge):
     train = frame([(i, "the cat and the dog went to the house of the king", "en") for i in range(5)] + [(i, "der hund und die katze gingen in das haus", "de") for i in range(9, 12)] + [(20, None, "en"), (21, "x", None)])
     parser = L.fit(train)
