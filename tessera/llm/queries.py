@@ -140,6 +140,17 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
     """,
+    "op7_bagminhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, list_slice(w, p, p + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)) GROUP BY ALL),
+        n AS (SELECT doc_id, sum(c) AS n, md5(string_agg(g::VARCHAR || c, ' ' ORDER BY g::VARCHAR)) AS bag FROM s GROUP BY 1),
+        b AS (SELECT doc_id, coalesce(bag, 'no words: ' || body) AS bag FROM d LEFT JOIN n USING (doc_id)),
+        m AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * m >= 8 * (x.n + y.n - m)
+              UNION SELECT x.doc_id, y.doc_id FROM b x JOIN b y ON x.bag = y.bag AND x.doc_id <> y.doc_id),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT doc_id, least(doc_id, (SELECT min(r.b) FROM r WHERE r.a = doc_id)) AS class_id, (SELECT min(o.doc_id) FROM b o WHERE o.bag = b.bag) AS text_class FROM b
+    """,
     # crc32 bit by bit over the hexadecimal bytes; 3988292384 is its polynomial
     "op9_rendezvous": """
         WITH k AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(doc_id::VARCHAR, '') AS name FROM documents),

@@ -131,3 +131,9 @@ def test_components(spark, edges):
     want = {(x, find(x)) for x in at if sum(find(y) == find(x) for y in at) > 1}
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_query(same_as_sql):
+    from tessera.llm import queries as Q
+
+    same_as_sql(Q.QUERIES["op7_bagminhash"], Q.SQL["op7_bagminhash"])
