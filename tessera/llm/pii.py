@@ -26,13 +26,13 @@ ROUNDS = 10
 #: Patterns by kind, in the order in which they are tried at each place of a text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[0-9A-Fa-f]{24,128}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9]|(?!T[0-9])[A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?<between>[.-])[0-9]{3}\k<between>[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<fours>[ -])[0-9]{4}\k<fours>[0-9]{4}\k<fours>[0-9]{1,7}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9A-Za-z]|[ -][0-9]{4}(?![0-9]))",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<fours>[ -])[0-9]{4}\k<fours>[0-9]{4}\k<fours>[0-9]{1,7}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9A-Za-z])",
 }
 #: The days of 400 years of the calendar from 1800-01-01, as a product.
 _FIRST_DAY, _DATE_LEFT, _DATE_RIGHT = "1800-01-01", 627, 233
@@ -200,9 +200,12 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, body = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    plain = F.regexp_replace(m, " ", "")
+    country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     checked = lambda x: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x)
-    return F.when(_mod97(F.concat(body, F.substring(m, 1, 4))) == 1, _let(feistel_letters(body, key, "iban"), checked))
+    out = _let(feistel_letters(body, key, "iban"), checked)
+    grouped = F.when(m.contains(" "), F.trim(F.regexp_replace(out, "(.{4})", "$1 "))).otherwise(out)
+    return F.when(_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1, grouped)
 
 
 def _email(m: Column, key: str) -> Column:

@@ -24,7 +24,7 @@ def test_what_is_found(spark):
     found = {
         "was.91@mail6.example.com": "email", "4111111111111111": "card", "4111-1111-1111-1111": "card", "378282246310005": "card", "+1 (017) 555-7713": "phone",
         "(017) 555-7713": "phone", "017-555-7713": "phone", "+44 20 7946 0958": "phone", "97.51.17.173": "ip", "2021-03-05": "date", "31/12/2020": "date", "12/31/2020": "date",
-        "05.03.1999": "date", "2000/02/29": "date", "DE89370400440532013000": "iban", "GB82WEST12345698765432": "iban", "123-45-6789": "ssn",
+        "05.03.1999": "date", "2000/02/29": "date", "DE89370400440532013000": "iban", "GB82WEST12345698765432": "iban", "DE89 3704 0044 0532 0130 00": "iban", "123-45-6789": "ssn",
         'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"': "secret",
     }
     out = replaced(spark, [f"so {v} it is" for v in found])
@@ -52,6 +52,14 @@ def test_equal_values_stay_linked(spark):
     assert replaced(spark, ["4111111111111111"], "other key")[0][0] not in cards
 
 
+def test_neighbours_do_not_hide_a_value(spark):
+    out = replaced(spark, ["4111111111111111 2024", "4111 1111 1111 1111 2024", "at 2021-03-05T10:00:00Z", "DE89370400440532013000 and DE89 3704 0044 0532 0130 00"])
+    assert [k for _, k in out] == [["card"], ["card"], ["date"], ["iban", "iban"]]
+    assert out[0][0].endswith(" 2024") and out[2][0].endswith("T10:00:00Z")
+    a, b = out[3][0].split(" and ")
+    assert a == b.replace(" ", "")
+
+
 def test_permutations(spark):
     """Different values of a format get different pseudonyms: all days of 400 years, all short numbers."""
     from pyspark.sql import functions as F
