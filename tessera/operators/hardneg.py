@@ -42,7 +42,7 @@ def top_names(targets: DataFrame, limit: int = 25) -> DataFrame:
 def name_counts(records: DataFrame, names: DataFrame) -> DataFrame:
     """For each given name (column `name`): records by source and the pairs they could make."""
     wanted = names.select("name", F.lower("name").alias("low"))
-    found = records.select("source", F.lower("business_name").alias("low")).join(F.broadcast(wanted), "low")  # a given list
+    found = records.select("source", F.lower("business_name").alias("low")).join(wanted, "low")
     counts = found.groupBy("name").agg(*[F.count_if(F.col("source") == s).alias(s.lower()) for s in ("S1", "S2", "S3")])
     every = names.join(counts, "name", "left").na.fill(0)
     return every.withColumns({"s2_s3": F.col("s2") + F.col("s3"), "potential_pairs": F.col("s1") * (F.col("s2") + F.col("s3"))})
@@ -50,7 +50,7 @@ def name_counts(records: DataFrame, names: DataFrame) -> DataFrame:
 
 def name_dives(s1: DataFrame, targets: DataFrame, truth: DataFrame, names: DataFrame) -> DataFrame:
     """For each given name: its pairs within countries, right and false ones, and both sides' records."""
-    wanted = F.broadcast(names.select("name", F.lower("name").alias("low")))  # a given list
+    wanted = names.select("name", F.lower("name").alias("low"))
     left = s1.select(F.col("entity_id").alias("s1_id"), "country", F.lower("business_name").alias("low")).join(wanted, "low")
     right = targets.select(F.col("entity_id").alias("target_id"), "country", F.lower("business_name").alias("low")).join(wanted, "low").drop("name")
     marked = label(left.join(right, ["low", "country"]), truth)

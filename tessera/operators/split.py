@@ -25,5 +25,5 @@ def stratified_split(summary: DataFrame, share: float = 0.2, seed: int = 42) ->
     rows = summary.withColumn("stratum", stratum(F.col("country"), F.col("match_count")))
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("stratum_size"))
     order = Window.partitionBy("stratum").orderBy(hash_order(F.col("source1_entity_id"), seed), "source1_entity_id")
-    ranked = rows.withColumn("nth", F.row_number().over(order)).join(F.broadcast(sizes), "stratum")  # strata: three for each country
+    ranked = rows.withColumn("nth", F.row_number().over(order)).join(sizes, "stratum")
     return ranked.withColumn("is_val", F.col("nth") <= F.round(F.col("stratum_size") * share)).drop("nth", "stratum_size")

@@ -90,6 +90,14 @@ def _breakdown(by: str, name: str) -> str:
       FROM ({_per("country_norm_name")}) GROUP BY 1"""
 
 
+def _sampled(field: str, key: str) -> str:
+    chosen = f"substr(md5('42:' || s1_id), 1, 8) < '{int(0.1 * 16**8):08x}'"
+    f = f"round(coalesce(1.25::DOUBLE * {_div('p', 'c')} * {_div('p', 'n')} / nullif(0.25::DOUBLE * {_div('p', 'c')} + {_div('p', 'n')}, 0), 0), 6)"
+    return f"""SELECT '{"_".join(_BLOCKED[key.removeprefix("country_")])}' AS signal, c * 10 AS candidate_count, p * 10 AS tp, (c - p) * 10 AS fp, (n - p) * 10 AS fn, round({_div("p", "c")}, 6) AS precision,
+      round({_div("p", "n")}, 6) AS recall, {f} AS f05 FROM (SELECT (SELECT count(*) FROM gt WHERE {chosen}) AS n, count(*) AS c, count(*) FILTER (is_tp) AS p FROM ({_labeled(key)}) q
+      WHERE {chosen} AND (SELECT {field} FROM s1 WHERE entity_id = q.s1_id) NOT IN (SELECT {field} FROM t WHERE {field} <> '' GROUP BY 1 HAVING count(*) > 3))"""
+
+
 _HYDRATED = """SELECT s1_id, target_id, a.business_name AS an, b.business_name AS bn, a.business_address AS aa, b.business_address AS ba, a.country AS ac, b.country AS bc
   FROM gt JOIN rec a ON a.entity_id = s1_id JOIN rec b ON b.entity_id = target_id"""
 _NAMES = "(SELECT business_name AS name FROM (SELECT business_name, count(*) AS c FROM rec WHERE source = 'S1' GROUP BY 1 ORDER BY c DESC, 1 LIMIT 5) UNION ALL SELECT 'No Such Name LLC')"
@@ -202,10 +210,10 @@ _RICH = {
       SELECT lower(a.business_name) AS low, a.entity_id AS s1_id, t.entity_id AS target_id, g.s1_id IS NOT NULL AS is_tp FROM s1 a JOIN t ON lower(a.business_name) = lower(t.business_name) AND a.country = t.country
       LEFT JOIN gt g ON g.s1_id = a.entity_id AND g.target_id = t.entity_id) p ON p.low = lower(name) GROUP BY 1""",
     "heavy_hitter_filtered_join": f"SELECT * FROM ({_pairs('country_norm_name')}) p WHERE (SELECT norm_name FROM s1 WHERE entity_id = p.s1_id) NOT IN (SELECT norm_name FROM t WHERE norm_name <> '' GROUP BY 1 HAVING count(*) > 3)",
-    "sampled_signal": f"""SELECT 'norm_name' AS signal, c * 10 AS candidate_count, p * 10 AS tp, (c - p) * 10 AS fp, (n - p) * 10 AS fn, round({_div("p", "c")}, 6) AS precision, round({_div("p", "n")}, 6) AS recall,
-      round(coalesce(1.25::DOUBLE * {_div("p", "c")} * {_div("p", "n")} / nullif(0.25::DOUBLE * {_div("p", "c")} + {_div("p", "n")}, 0), 0), 6) AS f05 FROM (
-      SELECT (SELECT count(*) FROM gt WHERE substr(md5('42:' || s1_id), 1, 8) < '{int(0.1 * 16**8):08x}') AS n, count(*) AS c, count(*) FILTER (is_tp) AS p FROM ({_labeled("country_norm_name")}) q
-      WHERE substr(md5('42:' || s1_id), 1, 8) < '{int(0.1 * 16**8):08x}' AND (SELECT norm_name FROM s1 WHERE entity_id = q.s1_id) NOT IN (SELECT norm_name FROM t WHERE norm_name <> '' GROUP BY 1 HAVING count(*) > 3))""",
+    "sampled_signals": " UNION ALL ".join(_sampled(*x) for x in (
+        ("business_name", "country_raw_name"), ("norm_name", "country_norm_name"), ("business_address", "country_raw_addr"), ("norm_addr", "country_norm_addr"), ("norm_name", "country_norm_name_and_addr"))),
+    "sql_views": f"""SELECT count(*) AS total_candidates, count(g.s1_id) AS tp, (SELECT sum(match_count)::BIGINT FROM sp WHERE is_val) AS wanted FROM (SELECT s1_id, target_id FROM ({_pairs("country_norm_name", "s1v")}) UNION SELECT s1_id, target_id FROM ({_pairs("country_norm_addr", "s1v")})) u
+      LEFT JOIN gt g ON u.s1_id = g.s1_id AND u.target_id = g.target_id""",
     "char_ngrams": _grams("s1", 3, 5),
 }
 #: After further tables.

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import audit, evaluate, hardneg, retrieval, signals, split
+from tessera.plans import views
 from tessera.session import ship
 from tessera.sources import sinks, tables
 
 KS = [5, 10, 20, 50]
 HEAVY = 3
+SAMPLED = [("business_name",), ("norm_name",), ("business_address",), ("norm_addr",), ("norm_name", "norm_addr")]
+VIEW_SQL = """
+    WITH pairs AS (SELECT a.entity_id AS s1_id, t.entity_id AS target_id FROM s1_val a JOIN targets t ON a.country = t.country AND a.norm_name = t.norm_name AND a.norm_name != ''
+                   UNION SELECT a.entity_id, t.entity_id FROM s1_val a JOIN targets t ON a.country = t.country AND a.norm_addr = t.norm_addr AND a.norm_addr != '')
+    SELECT count(*) AS total_candidates, count(g.target_entity_id) AS tp, (SELECT sum(match_count) FROM gt_s1_val) AS wanted
+    FROM pairs p LEFT JOIN gt_pairs g ON p.s1_id = g.source1_entity_id AND p.target_id = g.target_entity_id
+"""
 
 
 class Bound:
@@ -169,7 +177,8 @@ _PLANS: dict[str, Callable[[Bound], DataFrame]] = {
     "name_source_counts": lambda b: hardneg.name_counts(b.raw, b.names()),
     "hard_negatives": lambda b: hardneg.hard_negatives(b.s1, tables.targets_of(b.records, "S2"), b.truth),
     "heavy_hitter_filtered_join": lambda b: hardneg.blocked_pairs(signals.SIGNALS["country_norm_name"], b.s1, b.targets, HEAVY),
-    "sampled_signal": lambda b: hardneg.sampled_signal(("norm_name",), b.s1, b.targets, b.truth, 0.1, HEAVY),
+    "sampled_signals": lambda b: reduce(DataFrame.unionByName, [hardneg.sampled_signal(f, b.s1, b.targets, b.truth, 0.1, HEAVY) for f in SAMPLED]),
+    "sql_views": lambda b: views.register(b.records, b.lists).sql(VIEW_SQL),
     "source_stats": lambda b: audit.source_stats(b.raw),
     "country_dist": lambda b: audit.country_distribution(b.raw),
     "length_stats": lambda b: audit.length_stats(b.raw),

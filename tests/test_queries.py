@@ -15,6 +15,8 @@ def test_every_query_has_sql():
     assert set(plans.queries()) == set(plans.oracle())
 
 
+
+
 def test_contract(spark):
     flagship = entry.entry(spark)
     assert flagship.count() == 1

@@ -54,3 +54,14 @@ def test_heavy_keys(spark):
     right = spark.createDataFrame([("a",)] * 3 + [("b",)], "k string")
     a, b = without_heavy_keys(left, right, "k", 2)
     assert [r["k"] for r in a.collect()] == ["b"] and [r["k"] for r in b.collect()] == ["b"]
+
+
+def test_report(spark, sf_dir, tmp_path):
+    from tessera.plans import report
+
+    text = report.markdown(spark, sf_dir, {"Sources": ["source_stats"], "Ground truth": ["match_classes"]})
+    assert "## Sources" in text and "| source | total_rows |" in text and "matches_4_plus" in text
+    report.write(spark, sf_dir, str(tmp_path))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/metrics").count() == 12
+    assert spark.read.text(f"{tmp_path}/audit").where("value like '# Audit%'").count() == 1
+    assert spark.read.json(f"{tmp_path}/hard_negatives").count() <= 20
