@@ -69,7 +69,7 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_table(spark, sf_dir, "documents"))
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ SQL: dict[str, str] = {
         e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * m >= 8 * (x.n + y.n - m)
               UNION SELECT x.doc_id, y.doc_id FROM b x JOIN b y ON x.bag = y.bag AND x.doc_id <> y.doc_id),
         r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-        SELECT doc_id, least(doc_id, (SELECT min(r.b) FROM r WHERE r.a = doc_id)) AS class_id, (SELECT min(o.doc_id) FROM b o WHERE o.bag = b.bag) AS text_class FROM b
+        SELECT doc_id, least(doc_id, (SELECT min(r.b) FROM r WHERE r.a = doc_id)) AS class_id FROM b
     """,
     # crc32 bit by bit over the hexadecimal bytes; 3988292384 is its polynomial
     "op9_rendezvous": """
