@@ -283,9 +283,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     mixed = light.where("label <> hub_label").select("key").distinct()
     left = kept(light.join(mixed, "key", "left_semi"), "neardup-mixed")
     rest = kept(_rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched), "neardup-rest", PACKET_ROWS)
-    more = kept(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
-    edges = label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
-    label = components(edges, tables).withColumnRenamed("label", "class")
+    if rest.head(1):  # else the components are the classes already
+        more = kept(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
+        edges = label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
+        label = components(edges, tables)
+    label = label.withColumnRenamed("label", "class")
 
     classed = nodes.select("node", "id", "f1", "f2").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = classed.groupBy("class").agg(F.min("id").alias("class_id"))
