@@ -21,7 +21,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     Where that setting is absent (local tests), a temporary folder of this machine.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"

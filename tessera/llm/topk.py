@@ -36,6 +36,8 @@ from tessera.llm.common import discard, sample_share, stored
 PIVOTS, RINGS, SAMPLE_ROWS, BLOCK_ROWS, PACKET_ROWS, BLOCKS_PER_KEY = 16, 8, 2048, 2048, 256, 64
 #: Rows that Python gets at once where a row holds a packet and a block.
 MEETING_ROWS = 8
+#: Whatever lies farther out than the sample did is in the last ring, which has no outer bound.
+LAST_RING = 63
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
@@ -142,7 +144,7 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
             d = _distances(s.lifted(x), s.pivots)
             owner, near = d.argmin(1).astype(np.int32), d.min(1)
             packed = [row.tobytes() for row in x.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array((near // s.step).astype(np.int32)), pa.array(near), batch.column("id"), pa.array(packed, pa.binary())], names=["pivot", "ring", "distance", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.minimum(near // s.step, LAST_RING).astype(np.int32)), pa.array(near), batch.column("id"), pa.array(packed, pa.binary())], names=["pivot", "ring", "distance", "id", "v"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of equal (pivot, ring) of the sorted rows, each row once."""
@@ -201,7 +203,7 @@ def _expand(queries: DataFrame, shared, rings: list[tuple[int, int]], first: boo
                     continue
                 radius = np.inf if bounds[i] is None else np.sqrt(max(s.top + squares[i] - 2.0 * bounds[i], 0)) + s.slack()
                 for p, rs in by_pivot.items():
-                    reached = rs[(rs * s.step <= d[i, p] + radius) & ((rs + 1) * s.step >= d[i, p] - radius)]
+                    reached = rs[(rs * s.step <= d[i, p] + radius) & (((rs + 1) * s.step >= d[i, p] - radius) | (rs == LAST_RING))]
                     out += [(p, int(r), ids[i], raw[i], d[i, p], bounds[i], radius) for r in reached if (p, int(r)) != home]
             columns = list(zip(*out, strict=True)) or [[] for _ in range(7)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.float64()]

@@ -31,6 +31,7 @@ def test_against_brute_force(spark, block_rows, pivots, rings):
     centres = draw.normal(0, 1, (5, 6))
     rows = [(i, (centres[i % 5] + draw.normal(0, 0.2, 6)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 6) for i in range(60)]  # one common vector: ties
+    rows += [(600 + i, (draw.normal(0, 40 * (i + 1), 6)).astype(np.float32).tolist()) for i in range(30)]  # outliers
     rows += [rows[3], rows[3], (400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (None, [1.0] * 6), (405, [0.25, -0.5])]
     table = spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<float>, id string, score int")
     got = topk.search(table, F.col("id") % 20 == 0, 10, block_rows=block_rows, pivots=pivots, rings=rings, sample_rows=50)
