@@ -137,7 +137,7 @@ def _checkpoint_resume(b: Bound) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share; below the warehouse where no other is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
