@@ -89,12 +89,18 @@ def test_place_minimises_the_sum_of_squares():
         assert list(packer.count) == counts
 
 
-def test_encoders_agree(tokenizer):
+def test_encoders_agree(tokenizer, monkeypatch):
     random.seed(5)
     letters = "abc ABC  12'\n\t.,é日<|endoftext|> 😀"
     for _ in range(300):
         text = "".join(random.choice(letters) for _ in range(random.randint(0, 60)))
         tokenizer.encode_special_tokens = True
         assert P.encode(Q.tokenizer_path(), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    long = "x" * 1000 + " y" * (P.LONG_TEXT // 2)
+    whole = "".join(random.choice(letters) for _ in range(20_000))
+    monkeypatch.setattr(P, "PART", 50)
+    assert P.encode(Q.tokenizer_path(), whole).tolist() == tokenizer.encode(whole, add_special_tokens=False).ids
+    monkeypatch.setattr(P, "LONG_TEXT", 60)
+    assert P.encode(Q.tokenizer_path(), whole).tolist() == tokenizer.encode(whole, add_special_tokens=False).ids
+    monkeypatch.undo()
+    long = "x" * 1000 + " y" * (600_000)
     assert P.encode(Q.tokenizer_path(), long).tolist() == tokenizer.encode(long, add_special_tokens=False).ids
