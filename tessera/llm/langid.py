@@ -139,8 +139,8 @@ class Parser:
             state[:, :m] = now ^ ended
         for j in range(k):
             whole = count[j] + (state[j] != self.starts[j])  # with the phrase still open at the end
-            strange = np.concatenate([[0], np.cumsum(self.strange[j][codes])])
-            out[:, j] = np.bincount(owner, weights=whole, minlength=n) + strange[offsets[1:]] - strange[offsets[:-1]]
+            strange = np.diff(np.searchsorted(np.flatnonzero(self.strange[j][codes]), offsets))
+            out[:, j] = np.bincount(owner, weights=whole, minlength=n) + strange
         return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +193,10 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
 def _has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
     ascii_letter = _FOLD[data] != 32
     ascii_letter &= data < 128
-    total = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = total[offsets[1:]] > total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, bool)
+    filled = np.diff(offsets) > 0
+    if filled.any():
+        out[filled] = np.logical_or.reduceat(ascii_letter, offsets[:-1][filled])
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[i] = any(c.isalpha() for c in texts[int(i)].as_py())
     return out
