@@ -1,11 +1,13 @@
 """License notices by conditional compression.
 
 Each place of a text with one of the cue words makes a candidate block, the text up to REACH
-characters before and after it, which holds any notice about that word. Each template is loaded as a zstandard raw dictionary, the block is compressed with and without
-it, and templates are ranked by the share of bytes they save. In that order they are checked on
-words: the template's words are aligned with the block's, and the first template of which at
-least 0.8 stand there in order, with all that tell it from others, is the notice, put out with
-its exact differences. Version numbers and other fields of a template take any word.
+characters before and after it, which holds any notice about that word. Each template is loaded
+as a zstandard raw dictionary, the block is compressed with and without it, both in lower case
+and with single spaces, and templates are ranked by the share of bytes they save. In that order
+they are checked on words, whatever they save: the template's words are aligned with the block's,
+and the first template of which at least 0.8 stand there in order, with all that tell it from
+others, is the notice, put out with its exact differences. Version numbers and other fields of a
+template take any word. Only templates whose words are in the block at all are compressed.
 
 Whole texts are searched in one pass, without a shuffle. Null and empty texts have no notice;
 equal savings go to the template that comes first; repeated rows are rows each. Columns of the
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,9 +48,11 @@ TEMPLATES = {
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "proprietary": "All rights reserved.",
+    "SPDX": "SPDX-License-Identifier: {}",
 }
-#: The words that make a block a candidate: every template has one of them.
-CUES = r"(?i)licen[sc]|copyright|copyleft|permi(?:ssion|tted)|redistribut|creative commons|public domain|rights reserved|free software|\bCC[ -]BY|\bSPDX\b"
+#: The words that make a block a candidate: every template has one of them. Between two words may
+#: stand a line's end and the mark of a comment.
+CUES = r"(?i)licen[sc]|copyright|copyleft|permi(?:ssion|tted)|redistribut|creative\W+commons|public\W+domain|rights\W+reserved|free\W+software|\bCC[ -]BY|\bSPDX\b"
 CONFIRMED, REACH = 0.8, 480
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*|\{\}")
@@ -64,22 +69,38 @@ def _telling() -> dict[str, set[str]]:
     return {k: own - set().union(*[v for j, v in short.items() if j != k]) for k, own in short.items()}
 
 
+@cache
+def _counted() -> dict[str, Counter]:
+    return {k: Counter(words(v)) for k, v in TEMPLATES.items()}
+
+
+def possible(block_words: list[str]) -> list[str]:
+    """The templates that these words may confirm: enough of a template's words are among them,
+    in whatever order, and all that tell it from others."""
+    own = Counter(block_words)
+    return [k for k, wanted in _counted().items() if _telling().get(k, set()) <= own.keys() and (wanted & own).total() >= CONFIRMED * (wanted.total() - wanted["{}"])]
+
+
+def _folded(text: str) -> bytes:
+    return " ".join(text.lower().split()).encode()
+
+
 @cache
 def _compressors() -> tuple:
     import zstandard
 
-    dictionaries = [zstandard.ZstdCompressionDict(t.replace("{}", "").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in TEMPLATES.values()]
+    dictionaries = [zstandard.ZstdCompressionDict(_folded(t.replace("{}", "")), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in TEMPLATES.values()]
     for d in dictionaries:
         d.precompute_compress(level=3)
-    return zstandard.ZstdCompressor(level=3), [zstandard.ZstdCompressor(level=3, dict_data=d) for d in dictionaries]
+    return zstandard.ZstdCompressor(level=3), {k: zstandard.ZstdCompressor(level=3, dict_data=d) for k, d in zip(TEMPLATES, dictionaries, strict=True)}
 
 
-def savings(block: str) -> list[tuple[float, str]]:
-    """(share of bytes saved, template), the best first."""
+def savings(block: str, names: list[str]) -> list[tuple[float, str]]:
+    """(share of bytes saved, template) of these templates, the best first."""
     plain, conditional = _compressors()
-    data = block.encode()
+    data = _folded(block)
     alone = len(plain.compress(data))
-    saved = [((alone - len(c.compress(data))) / alone, name) for c, name in zip(conditional, TEMPLATES, strict=True)]
+    saved = [((alone - len(conditional[name].compress(data))) / alone, name) for name in names]
     return sorted(saved, key=lambda x: -x[0])
 
 
@@ -137,9 +158,8 @@ def _best(block: str) -> dict | None:
     """The template that saves most of those that the words confirm."""
     places = [(m.start(), m.end()) for m in _WORD.finditer(block)]
     own = [block[a:b].lower() for a, b in places]
-    for saved, name in savings(block):
-        if saved <= 0:
-            break
+    names = possible(own)
+    for saved, name in savings(block, names) if names else ():
         match, first, last, changes = differences(name, own)
         lost = {c[1:] for c in changes if c[0] == "-"}
         if match >= CONFIRMED and not lost & _telling().get(name, set()):

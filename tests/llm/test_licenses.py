@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -12,6 +13,24 @@ def test_templates_find_themselves(name):
     assert [(n["license"], n["match"], n["differences"]) for n in L.notices(text)] == [(name, 1.0, [])]
 
 
+@pytest.mark.parametrize("case", [str.upper, str.lower, str.title, lambda t: t.replace(" ", "\n * ")])
+@pytest.mark.parametrize("name", list(L.TEMPLATES))
+def test_templates_in_other_writing(name, case):
+    """In the middle of prose whose own bytes outweigh the notice's."""
+    random.seed(6)
+    prose = lambda: " ".join(random.choice(["river", "stone", "meadow", "walked", "under", "quiet", "of", "the", "morning", "and"]) for _ in range(120))
+    notice = case(L.TEMPLATES[name].replace("{}", "9.9"))
+    text = f"{prose()}. {notice}\n{prose()}"
+    (note,) = L.notices(text)
+    assert (note["license"], note["match"], note["differences"]) == (name, 1.0, [])
+    assert text[note["start"] : note["end"]] == note["quote"] and notice.startswith(note["quote"].split()[0])
+
+
+def test_spdx():
+    (note,) = L.notices("# SPDX-License-Identifier: Apache-2.0\nimport os\n")
+    assert note["license"] == "SPDX" and note["quote"] == "SPDX-License-Identifier: Apache-2.0"
+
+
 def test_differences_are_exact():
     text = L.TEMPLATES["MIT-text"].replace("sublicense, ", "").replace("charge", "cost")
     (note,) = L.notices("x\n" + text)
