@@ -7,6 +7,7 @@ stream keeps only the level array, the numbers of its open windows and a queue:
 rests, as many tokens as the open windows lack (`queue_tokens` at most). When the stream ends,
 the queue is cut to fill the open windows, so that of each stream one window stays part empty.
 
+Ids are those of the `tokenizers` library; the string of an added token in a text is that token.
 Null texts are empty and are the end id alone. Repeated rows are packed each for itself, texts
 of any length are encoded whole, an empty table gives no pieces. Documents are read in the
 order of their partition; the same partitions give the same pieces.
@@ -45,7 +46,8 @@ def _byte_letters() -> dict[str, int]:
 
 
 def encoders(path: str) -> tuple:
-    """(fast encoder, tokenizers' own) of a byte-level BPE file; both give the same ids.
+    """(fast encoder, tokenizers' own, added tokens with their ids, pattern that splits at them)
+    of a byte-level BPE file; between added tokens both encoders give the same ids.
 
     The merge ranks of such a file are the order of its ids, so the byte strings of its
     vocabulary with their ids define the fast encoder wholly.
@@ -57,27 +59,35 @@ def encoders(path: str) -> tuple:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["content"] for x in model["added_tokens"]}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in model["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that depend on their neighbours")
+        added = {x["content"]: x["id"] for x in model["added_tokens"]}
+        longest = sorted(added, key=len, reverse=True)  # of those that begin at one place the longest counts
+        split = re.compile(f"({'|'.join(map(re.escape, longest))})") if added else None
         letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        _encoders[path] = fast, whole
+        _encoders[path] = fast, Tokenizer.from_file(path), added, split
     return _encoders[path]
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    """The ids of a text; special tokens' strings in it are ordinary text."""
-    fast, whole = encoders(path)
-    parts, at = [], 0
-    while at < len(text):
-        cut = _CUT.search(text, at + PART) if len(text) - at > PART else None
-        part, at = (text[at : cut.start()], cut.start()) if cut else (text[at:], len(text))
-        if len(part) <= LONG_TEXT:
-            parts.append(np.asarray(fast.encode_to_numpy(part, disallowed_special=()), np.uint32))
-        else:
-            parts.append(np.array(whole.encode(part, add_special_tokens=False).ids, np.uint32))
+    """The ids of a text, as of tokenizers' encode with add_special_tokens=False: the string of an
+    added token is that token."""
+    fast, whole, added, split = encoders(path)
+    parts = []
+    for nth, run in enumerate(split.split(text) if split else [text]):
+        if nth % 2:
+            parts.append(np.array([added[run]], np.uint32))
+            continue
+        at = 0
+        while at < len(run):
+            cut = _CUT.search(run, at + PART) if len(run) - at > PART else None
+            part, at = (run[at : cut.start()], cut.start()) if cut else (run[at:], len(run))
+            if len(part) <= LONG_TEXT:
+                parts.append(np.asarray(fast.encode_to_numpy(part, disallowed_special=()), np.uint32))
+            else:
+                parts.append(np.array(whole.encode(part, add_special_tokens=False).ids, np.uint32))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 

@@ -104,3 +104,20 @@ def test_encoders_agree(tokenizer, monkeypatch):
     monkeypatch.undo()
     long = "x" * 1000 + " y" * (600_000)
     assert P.encode(Q.tokenizer_path(), long).tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_texts(frame, monkeypatch):
+    """As tokenizers encodes them with its own defaults."""
+    own = Tokenizer.from_file(Q.tokenizer_path())
+    assert P.encode(Q.tokenizer_path(), "hello <|endoftext|> x").tolist() == [31373, 220, 50256, 2124]
+    random.seed(8)
+    words = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", " b", "12", "é", "日", "<|", "|>"]
+    texts = ["".join(random.choice(words) for _ in range(random.randint(0, 40))) for _ in range(300)]
+    for text in texts:
+        assert P.encode(Q.tokenizer_path(), text).tolist() == own.encode(text, add_special_tokens=False).ids
+    rows = list(enumerate(texts))
+    check(P.pack(frame(rows), Q.tokenizer_path(), window=64).collect(), rows, own, 64)
+    whole = "".join(random.choice(words) for _ in range(20_000))
+    monkeypatch.setattr(P, "PART", 50)
+    monkeypatch.setattr(P, "LONG_TEXT", 60)
+    assert P.encode(Q.tokenizer_path(), whole).tolist() == own.encode(whole, add_special_tokens=False).ids
