@@ -5,10 +5,12 @@ parsed greedily into the longest phrases that the automaton knows; a phrase cost
 logarithm of that language's text length, and the language of least cost per byte wins.
 
 Learned on the driver from at most `passages` passages of `passage_bytes` characters a
-language, from rows drawn by hash of the id and from a hashed place in each; at most
-`languages` languages, the most frequent. The automata are dense tables of `table_bytes`
-together. Passages that automata of the other half of them give to another language are
-left out. Predictions read whole texts in one pass without a shuffle; texts are parsed in
+language, from rows drawn by hash of the id and from a hashed place in each. Passages that
+automata of the other half of them give to another language are left out; the first TEXT_BYTES
+of the others are learned. All languages are, and one's text does not depend on how many there
+are. The automata are sparse: 8 bytes a transition, of which a text of n bytes has 3 n at most,
+and some free places. So the table, and the work for a byte of text, grow with the number of
+languages. Predictions read whole texts in one pass without a shuffle; texts are parsed in
 pieces of `_STEP` bytes, many pieces at a time.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no row has
@@ -29,9 +31,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import tiles, utf8_buffers
 
-PASSAGES, PASSAGE_CHARS, TEXT_BYTES, LANGUAGES, TABLE_BYTES = 64, 1024, 1 << 15, 512, 64 << 20
+PASSAGES, PASSAGE_CHARS, TEXT_BYTES = 64, 1024, 1 << 15
 _STEP = 1024
-_TILE = 1 << 21
+#: Bytes of text parsed at once by up to eight languages, and pieces times languages at once.
+_TILE, _AT_ONCE = 1 << 21, 1 << 18
 
 #: ASCII other than letters counts as one space; the other bytes stay.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -74,43 +77,65 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
+def displaced(moves: list[dict[int, int]]) -> tuple[list[int], int]:
+    """A place for each state, all different, so that no two transitions have the same
+    place + byte; and the size of the table that holds them."""
+    size = 2 * sum(map(len, moves)) + 1024
+    taken, based = bytearray(size), bytearray(size)
+    places, low, width = [0] * len(moves), 0, 256
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        row = list(moves[state]) or [0]
+        if len(row) < width:  # smaller rows fit where larger ones did not
+            low, width = 0, len(row)
+        slot, tries = taken.find(0, low), 0
+        while True:
+            if slot < 0 or slot + 512 > len(taken):
+                taken.extend(bytes(1 << 16))
+                based.extend(bytes(1 << 16))
+                slot = taken.find(0, max(low, slot))
+            place = slot - row[0]
+            if place >= 0 and not based[place] and not any(taken[place + byte] for byte in row):
+                break
+            slot, tries = taken.find(0, slot + 1), tries + 1
+        low = slot if tries > 100 else low
+        places[state] = place
+        based[place] = 1
+        for byte in moves[state]:
+            taken[place + byte] = 1
+    return places, max(max(places) + 256, taken.rfind(1) + 1)
+
+
 class Parser:
-    """Dense automata of all languages in one table.
+    """Sparse automata of all languages in one table.
 
-    Entry [state, byte class] is the next state times the row width, or, where no phrase goes
-    on, the complement of the state that the byte leads to from the start: a new phrase.
-    A byte that a language has not is a phrase by itself. Of languages that cost the same,
-    the one named first in `texts` wins.
+    A state is a place in the table. Entry [state + byte] holds a state, whose transition it is,
+    and the next one. Where it is another's no phrase goes on, and `restart` has the state that
+    the byte leads to from the language's start: a new phrase. A byte that a language has not is
+    a phrase by itself. Of languages that cost the same, the one named first in `texts` wins.
     """
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = list(texts)
-        joined = {k: fold(np.frombuffer(b" ".join(v), np.uint8)) for k, v in texts.items()}
-        used = np.unique(np.concatenate([*joined.values(), np.zeros(0, np.uint8)]))
-        self.width = len(used) + 1
-        self.classes = np.zeros(256, np.uint8)  # class 0: bytes that no language has
-        self.classes[used] = np.arange(1, len(used) + 1)
-        if self.width > 255:
-            self.width, self.classes = 256, np.arange(256, dtype=np.uint8)
-        limit = TABLE_BYTES // (8 * self.width * max(1, len(self.languages)))
-        tables, self.starts, self.bits, self.strange, base = [], [], [], [], 0
+        tables, self.starts, self.bits, self.strange, restart, base = [], [], [], [], [], 0
         for name in self.languages:
-            text = self.classes[joined[name][: min(TEXT_BYTES, limit)]]
+            text = fold(np.frombuffer(b" ".join(texts[name])[:TEXT_BYTES], np.uint8))
             moves = suffix_automaton(text.tobytes())
-            table = np.zeros((len(moves), self.width), np.int32)
-            for state, row in enumerate(moves):
-                if row:
-                    table[state, list(row)] = list(row.values())
-            missing = table == 0
-            table = (table + base) * self.width
-            restart = np.broadcast_to(~table[0], table.shape)
-            tables.append(np.where(missing, restart, table).astype(np.int32))
-            tables[-1][0] = np.where(missing[0], base * self.width, table[0])
-            self.strange.append(missing[0])
-            self.starts.append(base * self.width)
+            self.strange.append(np.array([byte not in moves[0] for byte in range(256)]))
+            moves[0] = {byte: moves[0].get(byte, 0) for byte in range(256)}
+            places, size = displaced(moves)
+            at = np.array(places, np.int64) + base
+            owner = np.repeat(at, [len(row) for row in moves])
+            byte = np.array([x for row in moves for x in row], np.int64)
+            after = at[[x for row in moves for x in row.values()]]
+            table = np.full(size, -1, np.int64)
+            table[owner + byte - base] = owner << 32 | after
+            tables.append(table)
+            self.starts.append(int(at[0]))
+            restart.append(table[places[0] : places[0] + 256] & 0xFFFFFFFF)
             self.bits.append(np.log2(max(2, len(text))))
-            base += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base += size
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.restart = np.concatenate(restart) if restart else np.zeros(0, np.int64)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by text and language."""
@@ -126,21 +151,29 @@ class Parser:
         length = np.minimum(size[owner] - nth * _STEP, _STEP)
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
-        codes = self.classes[fold(data)]
+        codes = fold(data)
         alive = len(length) - np.searchsorted(length[::-1], np.arange(_STEP), "right")
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(owner), 1)
-        count = np.zeros((k, len(owner)), np.int32)
-        for i in range(int(length[0])):
-            m = int(alive[i])
-            byte = codes[begin[:m] + i].astype(np.int32)
-            now = self.table.take(state[:, :m] + byte)
-            ended = now >> 31
-            count[:, :m] -= ended
-            state[:, :m] = now ^ ended
-        for j in range(k):
-            whole = count[j] + (state[j] != self.starts[j])  # with the phrase still open at the end
-            strange = np.diff(np.searchsorted(np.flatnonzero(self.strange[j][codes]), offsets))
-            out[:, j] = np.bincount(owner, weights=whole, minlength=n) + strange
+        step = max(1, _AT_ONCE // len(owner))
+        for low in range(0, k, step):
+            some = range(low, min(k, low + step))
+            starts = np.array(self.starts[low : low + step], np.int64)[:, None]
+            first = np.array(some, np.int64)[:, None] * 256
+            state = np.repeat(starts, len(owner), 1)
+            count = np.zeros(state.shape, np.int32)
+            for i in range(int(length[0])):
+                m = int(alive[i])
+                byte = codes[begin[:m] + i].astype(np.int64)
+                at = state[:, :m]
+                now = self.table.take(at + byte)
+                ended = now >> 32 != at
+                count[:, :m] += ended
+                now &= 0xFFFFFFFF
+                np.copyto(now, self.restart.take(first + byte), where=ended)
+                state[:, :m] = now
+            whole = count + (state != starts)  # with the phrase still open at the end
+            for j in some:
+                strange = np.diff(np.searchsorted(np.flatnonzero(self.strange[j][codes]), offsets))
+                out[:, j] = np.bincount(owner, weights=whole[j - low], minlength=n) + strange
         return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +203,10 @@ def agreeing(texts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
 
 
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", passages: int = PASSAGES,
-        passage_chars: int = PASSAGE_CHARS, languages: int = LANGUAGES) -> Parser:
+        passage_chars: int = PASSAGE_CHARS) -> Parser:
     """Automata of the languages of these labelled documents."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Parser({})
     spread = 1 << 30
@@ -208,16 +241,17 @@ def identify(docs: DataFrame, parser: Parser, *, text: str = "text", keep: list[
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[c] for c in keep if c not in (name, score)]
     schema = T.StructType([*fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(parser)  # table_bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(parser)  # grows with the languages only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: Parser = shared.value
         names = np.array([*learned.languages, "und"], object)
+        tile = _TILE * 8 // max(8, len(learned.languages))
         for batch in batches:
             column = batch.column(text)
             found, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
             _, offsets = utf8_buffers(column)
-            for a, b in tiles(offsets, _TILE):
+            for a, b in tiles(offsets, tile):
                 part = pc.utf8_lower(column.slice(a, b - a))
                 data, at = utf8_buffers(part)
                 letters = _has_letter(data, at, part) & bool(learned.languages)

@@ -64,6 +64,21 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(rows[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) / len(held) >= 0.97
 
 
+def test_many_languages_keep_their_text(frame):
+    """Alphabets that hardly meet; more languages than one would expect."""
+    random.seed(12)
+    letters = [[chr(0x400 + 24 * k + i) for i in range(24)] + list("abc ") for k in range(8)]
+    some = lambda k, n: "".join(random.choice(letters[k]) for _ in range(n)).encode()
+    parser = L.Parser({str(k): [some(k, 40_000)] for k in range(8)})
+    assert parser.bits == [np.log2(L.TEXT_BYTES)] * 8
+    assert len(parser.table) * 8 < 8 * 3 * 8 * L.TEXT_BYTES
+    learned = L.fit(frame([(i, f"word{i} of language {i}", f"l{i:03}") for i in range(600)]))
+    assert learned.languages == [f"l{i:03}" for i in range(600)]
+    texts = [b"word599 of language 599", b"word7 of language 7"]
+    best, _ = learned.predict(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0] + texts[1])]))
+    assert len(best) == 2
+
+
 def test_wrong_labels_are_left_out():
     english, german = (["the cat and the dog went home " + w for w in "abcdef"], ["der hund und die katze gingen heim " + w for w in "abcdef"])
     texts = {"en": [x.encode() for x in english] + [german[5].encode()], "de": [x.encode() for x in german[:5]]}
