@@ -71,7 +71,15 @@ def _prints(grams, owner, counts, data, offsets) -> np.ndarray:
     return prints.view(np.int64)
 
 
-def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _digests(text: str) -> dict:
+    """Two hashes that, with the id, tell rows from each other."""
+    return {f"d{i}": F.xxhash64(F.lit(i), F.col(text)) for i in (1, 2)}
+
+
+def _signed(docs: DataFrame, key: str, text: str, digests: bool = False) -> DataFrame:
+    hashes = _digests(text) if digests else {}
+    more = list(hashes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_buffers(batch.column(1))
@@ -86,9 +94,11 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(weight),
                     pa.array([x.tobytes() if w else None for x, w in zip(bands, weight, strict=True)], pa.binary()),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
-                ], names=["id", "f1", "f2", "weight", "bands", "sketch"])
+                    *[batch.column(2 + i).slice(a, b - a) for i in range(len(more))],
+                ], names=["id", "f1", "f2", "weight", "bands", "sketch", *more])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, f1 long, f2 long, weight long, bands binary, sketch binary")
+    columns = [F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *[c.alias(name) for name, c in hashes.items()]]
+    return docs.select(*columns).mapInArrow(run, ", ".join(["id long, f1 long, f2 long, weight long, bands binary, sketch binary", *[f"{name} long" for name in more]]))
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
@@ -259,9 +269,15 @@ def _rest_pairs(members: DataFrame, threshold: float, sketched: float) -> DataFr
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, sketched: float = SKETCHED) -> DataFrame:
     """id, class_id (the least id of its class) and text_class (of those with its multiset) of
     every document."""
+    return _classed(docs, key, text, threshold, sketched)
+
+
+def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY, sketched: float = SKETCHED, digests: bool = False) -> DataFrame:
+    """The rows of classes(); with `digests` instead d1, d2, class (a node) and id."""
+    extra = ["d1", "d2"] if digests else []
     tables: list[str] = []
     kept = partial(stored, into=tables)
-    rows = kept(_signed(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
+    rows = kept(_signed(docs, key, text, digests).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
     nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "sketch")])
     nodes = kept(nodes, "neardup-nodes")
     band_rows = _band_rows(nodes)
@@ -291,20 +307,30 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
 
     classed = nodes.select("node", "id", "f1", "f2").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = classed.groupBy("class").agg(F.min("id").alias("class_id"))
-    named_nodes = classed.join(least, "class").select("f1", "f2", F.col("id").alias("text_class"), "class_id")
-    out = rows.select("id", "f1", "f2").join(named_nodes, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "text_class")
+    named_nodes = classed.join(least, "class").select("f1", "f2", F.col("id").alias("text_class"), "class_id", *(["class"] if digests else []))
+    out = rows.select("id", "f1", "f2", *extra).join(named_nodes, ["f1", "f2"])
+    out = out.select(*extra, "class", "id") if digests else out.select(F.col("id").alias(key), "class_id", "text_class")
     out = stored(out, "neardup-classes")
     discard(docs.sparkSession, tables)
     return out
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with their columns, of each class only that of the least id. Rows without
-    an id cannot be told apart and stay; of rows that repeat id and text one stays."""
-    found = classes(docs, key=key, text=text, **options)
-    dropped = found.where(F.col(key) != F.col("class_id")).select(key).distinct()
-    kept = docs.join(dropped, key, "left_anti")
-    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1):
-        unnamed = kept.where(F.col(key).isNull())
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(unnamed)
+    """The documents with their columns, of each class one row: of the least id and, where texts
+    of one class share it, the least digest. Rows without an id are a group of their own within
+    a class and one of them stays; of rows that repeat id and text one stays."""
+    found = _classed(docs, key, text, digests=True, **options)
+    rows = found.select("class", F.col("id").isNull().alias("unnamed"), F.struct("id", "d1", "d2").alias("row"))
+    least = rows.groupBy("class", "unnamed").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = rows.join(least, ["class", "unnamed"])
+    dropped = met.where(F.col("row") != F.col("least")).select("row.*").distinct()
+    names = {"id": "__id", "d1": "__d1", "d2": "__d2"}
+    own = {"__id": F.col(key).cast("long"), **{f"__{name}": c for name, c in _digests(text).items()}}
+    same = F.lit(True)
+    gone = dropped.withColumnsRenamed({name: f"gone_{name}" for name in names})
+    for name, mine in names.items():
+        same = same & F.col(mine).eqNullSafe(F.col(f"gone_{name}"))
+    kept = docs.withColumns(own).join(gone, same, "left_anti")
+    if met.where(F.col("row") == F.col("least")).groupBy("row").count().where("count > 1").head(1):
+        kept = kept.dropDuplicates(list(names.values()))
     return kept.select(docs.columns)

@@ -89,6 +89,15 @@ def test_edges(frame, edge):
     assert N.classes(frame([])).count() == 0 and N.deduplicate(frame([])).count() == 0
 
 
+def test_rows_are_dropped_one_by_one(frame):
+    """An id with several texts, and copies without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(2, a), (5, a), (5, b), (6, c), (6, c), (7, c), (None, d), (None, d), (None, d + " end"), (8, None), (8, "")]
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in N.deduplicate(frame(rows)).collect())
+    assert kept[:3] + kept[3:4] == [("2", a), ("5", b), ("6", c), ("8", "")]
+    assert len(kept) == 5 and kept[4][0] == "None" and kept[4][1].startswith(d)
+
+
 def test_signature_is_unbiased():
     draw = np.random.default_rng(0)
     grams = np.arange(300, dtype=np.uint64)
