@@ -54,13 +54,14 @@ def counts_of_signal(signal: Signal, s1: DataFrame, targets: DataFrame, truth: D
 
 def counts_of_signals(wanted: list[Signal], s1: DataFrame, targets: DataFrame, truth: DataFrame) -> DataFrame:
     """signal, s1_id and counts of many signals at once: each table is read once, and the keys of
-    all signals go through one aggregation and one join."""
+    all signals go through one aggregation and one join. As in an equi-join, a null key (a null
+    country too) matches nothing."""
 
-    def full(signal: Signal, prefix: str = "") -> Column:
-        return reduce(and_, [F.col(prefix + f) != "" for f in signal.fields])
+    def full(signal: Signal) -> Column:
+        return reduce(and_, [*[F.col(f) != "" for f in signal.fields], *[F.col(k).isNotNull() for k in signal.keys]])
 
     def keyed(df: DataFrame, *columns: Column) -> DataFrame:
-        keys = [F.when(full(s), F.struct(F.lit(s.key).alias("signal"), F.concat_ws("\u0001", *s.keys).alias("value"))) for s in wanted]
+        keys = [F.when(full(s), F.struct(F.lit(s.key).alias("signal"), F.array(*s.keys).alias("value"))) for s in wanted]
         return df.select(*columns, F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("k")).select("*", "k.signal", "k.value").drop("k")
 
     source = F.col("source")
