@@ -95,7 +95,7 @@ def _sampled(field: str, key: str) -> str:
     f = f"round(coalesce(1.25::DOUBLE * {_div('p', 'c')} * {_div('p', 'n')} / nullif(0.25::DOUBLE * {_div('p', 'c')} + {_div('p', 'n')}, 0), 0), 6)"
     return f"""SELECT '{"_".join(_BLOCKED[key.removeprefix("country_")])}' AS signal, c * 10 AS candidate_count, p * 10 AS tp, (c - p) * 10 AS fp, (n - p) * 10 AS fn, round({_div("p", "c")}, 6) AS precision,
       round({_div("p", "n")}, 6) AS recall, {f} AS f05 FROM (SELECT (SELECT count(*) FROM gt WHERE {chosen}) AS n, count(*) AS c, count(*) FILTER (is_tp) AS p FROM ({_labeled(key)}) q
-      WHERE {chosen} AND (SELECT {field} FROM s1 WHERE entity_id = q.s1_id) NOT IN (SELECT {field} FROM t WHERE {field} <> '' GROUP BY 1 HAVING count(*) > 3))"""
+      WHERE {chosen} AND (SELECT {field} FROM s1 WHERE entity_id = q.s1_id) NOT IN (SELECT {field} FROM t WHERE {field} <> '' GROUP BY 1 HAVING count(*) > 100000))"""
 
 
 _HYDRATED = """SELECT s1_id, target_id, a.business_name AS an, b.business_name AS bn, a.business_address AS aa, b.business_address AS ba, a.country AS ac, b.country AS bc
@@ -152,6 +152,15 @@ def _variation(a: str, b: str) -> str:
 
 
 _SAME = "count(*) FILTER ({0})"
+_HINDI = "SELECT entity_id, source, country, CASE WHEN source <> 'S1' AND crc % 3 = 0 THEN business_name || ' प्राइवेट लिमिटेड' ELSE business_name END AS business_name FROM (SELECT *, {0} AS crc FROM rec)"
+# crc32 bit by bit over the hexadecimal bytes; 3988292384 is its polynomial
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode(entity_id)), '..'), lambda h: ('0x' || h)::BIGINT), lambda x, y:
+  list_reduce(range(8), lambda z, j: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(x, y)), 4294967295), 4294967295)"""
+_SCRIPT = rf"""SELECT s1_id, target_id, a.business_name AS an, b.business_name AS bn, a.country AS ac FROM gt JOIN ({_HINDI.format(_CRC)}) a ON a.entity_id = s1_id
+  JOIN ({_HINDI.format(_CRC)}) b ON b.entity_id = target_id WHERE regexp_matches(a.business_name, '[\x{{0900}}-\x{{097F}}]') <> regexp_matches(b.business_name, '[\x{{0900}}-\x{{097F}}]')"""
+_HARD = """SELECT a.entity_id AS s1_id, b.entity_id AS s2_id, a.business_name AS s1_name, b.business_name AS s2_name, a.business_address AS s1_addr, b.business_address AS s2_addr
+  FROM rec a JOIN rec b ON trim(lower(a.business_name)) = trim(lower(b.business_name)) AND a.country = b.country AND a.source = 'S1' AND b.source = 'S2'
+  WHERE length(trim(lower(a.business_name))) > 8 AND (a.entity_id, b.entity_id) NOT IN (SELECT s1_id, target_id FROM gt) ORDER BY 1, 2 LIMIT 20"""
 #: Without the normalized columns.
 _PLAIN = {
     "norm_basic": f"SELECT entity_id, {norm('business_name')} AS name, {norm('business_address')} AS address FROM rec",
@@ -185,6 +194,19 @@ _PLAIN = {
     "pair_space": "SELECT sum(a)::BIGINT AS s1_rows, sum(b)::BIGINT AS target_rows, sum(a * b)::BIGINT AS blocked_pairs, (sum(a) * sum(b))::BIGINT AS all_pairs FROM (SELECT country, count(*) FILTER (source = 'S1') AS a, count(*) FILTER (source <> 'S1') AS b FROM rec GROUP BY 1)",
     "hash_sample": f"SELECT entity_id FROM rec WHERE substr(md5('42:' || entity_id), 1, 8) < '{int(0.1 * 16**8):08x}'",
     "tsv_roundtrip": "SELECT entity_id, business_name, business_address, country FROM rec",
+    "tsv_columns": "SELECT entity_id, country FROM rec",
+    "tsv_sql": "SELECT country, count(*) AS n, count(*) FILTER (business_address = '') AS no_address FROM rec GROUP BY 1",
+    "file_listing": "SELECT DISTINCT source, true AS filled FROM rec",
+    "json_report": _HARD,
+    "markdown_report": "SELECT '| source | country | n |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT '| ' || source || ' | ' || country || '/ | ' || count(*) || ' |' FROM rec GROUP BY source, country",
+    "duration_format": """SELECT s::INT AS seconds, CASE WHEN s < 60 THEN s || '.0s' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS shown
+      FROM range(0, 9000, 59) AS t(s)""",
+    "script_examples": f"SELECT s1_id AS source1_entity_id, target_id AS target_entity_id, replace(substr(an, 1, 100), '|', '/') AS s1_value, replace(substr(bn, 1, 100), '|', '/') AS match_value FROM ({_SCRIPT}) ORDER BY 1, 2 LIMIT 10",
+    "script_counts": f"SELECT ac AS s1_country, count(*) AS n FROM ({_SCRIPT}) GROUP BY 1",
+    # DuckDB's strip_accents takes Indic marks away too, so the legal form is added to the normalized name
+    "norm_legal_hindi": rf"""SELECT entity_id, CASE WHEN hindi THEN trim(x || ' प्राइवेट लिमिटेड') ELSE x END AS norm_name,
+      CASE WHEN hindi THEN coalesce(nullif(x, ''), 'प्राइवेट लिमिटेड') ELSE coalesce(nullif(trim(regexp_replace(x, '(?i)\b({LEGAL_FORMS})\b$', '')), ''), x) END AS norm_name_legal
+      FROM (SELECT entity_id, source <> 'S1' AND {_CRC} % 3 = 0 AS hindi, {norm("business_name")} AS x FROM rec)""",
 }
 #: With them.
 _RICH = {
@@ -194,6 +216,7 @@ _RICH = {
     **{f"labeled_{k}": _labeled(k) for k in ("norm_name", "country_legal_norm_name")},
     **{f"per_s1_{k}": _per(k) for k in ("norm_name", "country_norm_name", "country_legal_norm_name")},
     "per_s1_from_pairs": _per("country_norm_name"),
+    "csv_report": "SELECT split, key, total_cand, avg_cand, median_cand, p95_cand, max_cand, unresolved_s1, reduction_ratio FROM (" + " UNION ALL ".join(_panel_row(k, False) for k in _ON) + ")",
     "metrics_panel": " UNION ALL ".join(_panel_row(k, False) for k in _ON),
     "metrics_panel_val": " UNION ALL ".join(_panel_row(k, True) for k in _ON),
     "by_match_class": _breakdown("CASE gt_count WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '2+' END", "match_class"),
@@ -209,7 +232,7 @@ _RICH = {
     "name_literals": f"""SELECT name, count(p.s1_id) AS pairs, count(*) FILTER (is_tp) AS tp, count(*) FILTER (NOT is_tp) AS fp, count(DISTINCT p.s1_id) AS unique_s1, count(DISTINCT p.target_id) AS unique_targets FROM {_NAMES} LEFT JOIN (
       SELECT lower(a.business_name) AS low, a.entity_id AS s1_id, t.entity_id AS target_id, g.s1_id IS NOT NULL AS is_tp FROM s1 a JOIN t ON lower(a.business_name) = lower(t.business_name) AND a.country = t.country
       LEFT JOIN gt g ON g.s1_id = a.entity_id AND g.target_id = t.entity_id) p ON p.low = lower(name) GROUP BY 1""",
-    "heavy_hitter_filtered_join": f"SELECT * FROM ({_pairs('country_norm_name')}) p WHERE (SELECT norm_name FROM s1 WHERE entity_id = p.s1_id) NOT IN (SELECT norm_name FROM t WHERE norm_name <> '' GROUP BY 1 HAVING count(*) > 3)",
+    "heavy_hitter_filtered_join": f"SELECT * FROM ({_pairs('country_norm_name')}) p WHERE (SELECT norm_name FROM s1 WHERE entity_id = p.s1_id) NOT IN (SELECT norm_name FROM t WHERE norm_name <> '' GROUP BY 1 HAVING count(*) > 100000)",
     "sampled_signals": " UNION ALL ".join(_sampled(*x) for x in (
         ("business_name", "country_raw_name"), ("norm_name", "country_norm_name"), ("business_address", "country_raw_addr"), ("norm_addr", "country_norm_addr"), ("norm_name", "country_norm_name_and_addr"))),
     "sql_views": f"""SELECT count(*) AS total_candidates, count(g.s1_id) AS tp, (SELECT sum(match_count)::BIGINT FROM sp WHERE is_val) AS wanted FROM (SELECT s1_id, target_id FROM ({_pairs("country_norm_name", "s1v")}) UNION SELECT s1_id, target_id FROM ({_pairs("country_norm_addr", "s1v")})) u
@@ -225,6 +248,12 @@ _STEPS = {
     "recall_at_k": (_ranked_ctes(3, 5, 50) + _PER_QUERY, "SELECT k, pair_recall FROM panel WHERE grouping = 'OVERALL'"),
     "complete_recovery": (_ranked_ctes(3, 5, 50) + _PER_QUERY, "SELECT grouping, k, s1_complete_recovery FROM panel"),
     "recall_panel": (_ranked_ctes(3, 5, 50) + _PER_QUERY, "SELECT * FROM panel"),
+    "recall_panel_v1": (
+        _ranked_ctes(3, 5, 50) + _PER_QUERY,
+        """SELECT grouping, k, round(coalesce(sum(tp)::DOUBLE / nullif(sum(gt), 0), 0), 6) AS pair_recall,
+        round(coalesce(count(*) FILTER (gt > 0 AND tp = gt)::DOUBLE / nullif(count(*) FILTER (gt > 0), 0), 0), 6) AS s1_complete_recovery,
+        round(coalesce(sum(tp)::DOUBLE / nullif(sum(cands), 0), 0), 6) AS precision FROM grouped GROUP BY ALL""",
+    ),
     "candidate_overlap": (
         _ranked_ctes(3, 5, 20, "r1") + _ranked_ctes(3, 6, 20, "r2"),
         "SELECT (SELECT count(*) FROM r1) AS first, (SELECT count(*) FROM r2) AS second, (SELECT count(*) FROM r1 JOIN r2 USING (source1_entity_id, target_entity_id)) AS shared",

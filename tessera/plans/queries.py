@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cache, reduce
 
@@ -13,10 +12,11 @@ from tessera.functions import text as X
 from tessera.operators import audit, evaluate, hardneg, retrieval, signals, split
 from tessera.plans import views
 from tessera.session import ship
-from tessera.sources import sinks, tables
+from tessera.sources import shared, sinks, tables
 
 KS = [5, 10, 20, 50]
-HEAVY = 3
+#: Keys that more targets share are left out: the reference's threshold.
+HEAVY = 100_000
 SAMPLED = [("business_name",), ("norm_name",), ("business_address",), ("norm_addr",), ("norm_name", "norm_addr")]
 VIEW_SQL = """
     WITH pairs AS (SELECT a.entity_id AS s1_id, t.entity_id AS target_id FROM s1_val a JOIN targets t ON a.country = t.country AND a.norm_name = t.norm_name AND a.norm_name != ''
@@ -111,16 +111,79 @@ def _union(b: Bound) -> DataFrame:
     return hardneg.union_recall(hardneg.union_candidates(*two), b.truth)
 
 
-def _tsv_roundtrip(b: Bound) -> DataFrame:
-    path = _folder(b.spark)
-    b.raw.select(tables.RECORD.names).write.options(sep="\t", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    return tables.read_tsv(b.spark, path)
+def _by_way_of(spark: SparkSession, write: Callable[[str], object], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What `read` finds in the folder that `write` filled, as a stored table; the folder goes."""
+    path = [shared.scratch(spark, "files")]
+    write(path[0])
+    out = shared.stored(read(path[0]), "read")
+    shared.discard(spark, path)
+    return out
+
+
+def _write_tsv(b: Bound, path: str, *by: str) -> None:
+    rows = b.raw.select(*tables.RECORD.names, *by).write.partitionBy(*by)
+    rows.options(sep="\t", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def _tsv(b: Bound, read: Callable[[str], DataFrame], *by: str) -> DataFrame:
+    return _by_way_of(b.spark, lambda path: _write_tsv(b, path, *by), read)
+
+
+def _tsv_sql(b: Bound, path: str) -> DataFrame:
+    """SQL over a view of delimited files."""
+    tables.read_tsv(b.spark, path).createOrReplaceTempView("records_file")
+    return b.spark.sql("SELECT country, count(*) AS n, count_if(business_address = '') AS no_address FROM records_file GROUP BY country")
+
+
+def _listing(b: Bound, path: str) -> DataFrame:
+    folder = F.regexp_extract("path", "source=([^/]*)/[^/]*$", 1)
+    return tables.list_files(b.spark, path, "*.csv").groupBy(folder.alias("source")).agg((F.sum("length") > 0).alias("filled"))
+
+
+#: The columns of the small report of candidates.
+STATISTICS = ["split", "key", "total_cand", "avg_cand", "median_cand", "p95_cand", "max_cand", "unresolved_s1", "reduction_ratio"]
+
+
+def _csv_report(b: Bound) -> DataFrame:
+    panel = _rounded(_panel(b, False))
+    kinds = panel.select(STATISTICS).schema
+    return _by_way_of(b.spark, lambda path: sinks.write_csv(panel, path, STATISTICS), lambda path: sinks.read_csv_report(b.spark, path, kinds))
+
+
+def _json_report(b: Bound) -> DataFrame:
+    rows = hardneg.hard_negatives(b.s1, tables.targets_of(b.records, "S2"), b.truth)
+    return _by_way_of(b.spark, lambda path: sinks.write_json(rows, path), lambda path: b.spark.read.schema(rows.schema).json(path))
+
+
+def _markdown_report(b: Bound) -> DataFrame:
+    text = sinks.markdown_table(audit.country_distribution(b.raw).select("source", F.concat("country", F.lit("|")).alias("country"), "n"))
+    return b.spark.createDataFrame([(line,) for line in text.splitlines()], "line string")
+
+
+def _durations(b: Bound) -> DataFrame:
+    return b.spark.createDataFrame([(s, sinks.duration(s)) for s in range(0, 9000, 59)], "seconds int, shown string")
+
+
+def _hindi(b: Bound) -> DataFrame:
+    """The records, some targets of which carry a legal form in Devanagari letters."""
+    some = (F.col("source") != "S1") & (F.crc32(F.col("entity_id").cast("binary")) % 3 == 0)
+    return b.raw.withColumn("business_name", F.when(some, F.concat("business_name", F.lit(" प्राइवेट लिमिटेड"))).otherwise(F.col("business_name")))
+
+
+def _script_pairs(b: Bound) -> DataFrame:
+    records = _hindi(b)
+    return audit.script_mismatch(audit.hydrated(b.truth, records, records))
 
 
 def _checkpoint_resume(b: Bound) -> DataFrame:
-    """The ranked candidates by way of a store that stopped after its first block."""
-    store = sinks.ResumableStore(b.spark, _folder(b.spark), 3, grams=(3, 5), k=10, min_df=retrieval.MIN_DF, max_df=retrieval.MAX_DF)
-    work = lambda q: retrieval.top_k(q, b.targets, 3, 5, 10)
+    """The ranked candidates by way of a store that stopped after its first block; the targets
+    are fitted once for all blocks."""
+    used: list[str] = []
+    queries = shared.stored(b.s1_val(), "queries", into=used)
+    fitted = retrieval.fit(b.targets, 3, 5, into=used)
+    path = shared.scratch(b.spark, "store")
+    make = lambda: sinks.ResumableStore(b.spark, path, 3, [queries, fitted.words], grams=(3, 5), k=10, min_df=retrieval.MIN_DF, max_df=retrieval.MAX_DF)
+    work = lambda q: retrieval.search(q, fitted, 10)
 
     class Stop(Exception):
         pass
@@ -129,16 +192,12 @@ def _checkpoint_resume(b: Bound) -> DataFrame:
         raise Stop
 
     try:
-        store.run(b.s1_val(), "entity_id", work, stop)
+        make().run(queries, "entity_id", work, stop)
     except Stop:
         pass
-    return store.run(b.s1_val(), "entity_id", work)
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; below the warehouse where no other is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    out = shared.stored(make().run(queries, "entity_id", work), "resumed")
+    shared.discard(b.spark, [*used, path])
+    return out
 
 
 def _strings(b: Bound, f) -> DataFrame:
@@ -203,7 +262,18 @@ _PLANS: dict[str, Callable[[Bound], DataFrame]] = {
     "recall_panel": lambda b: retrieval.recall_panel(_recall(b, 3, 5), "3_5"),
     "candidate_overlap": lambda b: retrieval.overlap(_ranked(b, 3, 5, 20), _ranked(b, 3, 6, 20)),
     "hash_sample": lambda b: split.hash_sample(b.raw, "entity_id", 0.1).select("entity_id"),
-    "tsv_roundtrip": _tsv_roundtrip,
+    "recall_panel_v1": lambda b: retrieval.recall_panel(_recall(b, 3, 5), "3_5", strict=True).select("grouping", "k", "pair_recall", "s1_complete_recovery", "precision"),
+    "tsv_roundtrip": lambda b: _tsv(b, lambda path: tables.read_tsv(b.spark, path)),
+    "tsv_columns": lambda b: _tsv(b, lambda path: tables.read_tsv(b.spark, path, columns=["entity_id", "country"])),
+    "tsv_sql": lambda b: _tsv(b, lambda path: _tsv_sql(b, path)),
+    "file_listing": lambda b: _tsv(b, lambda path: _listing(b, path), "source"),
+    "csv_report": _csv_report,
+    "json_report": _json_report,
+    "markdown_report": _markdown_report,
+    "duration_format": _durations,
+    "norm_legal_hindi": lambda b: tables.normalized(_hindi(b)).select("entity_id", "norm_name", "norm_name_legal"),
+    "script_examples": lambda b: audit.variations(_script_pairs(b), "business_name", limit=10),
+    "script_counts": lambda b: _script_pairs(b).groupBy("s1_country").agg(F.count("*").alias("n")),
     "checkpoint_resume": _checkpoint_resume,
 }
 

@@ -36,6 +36,44 @@ def test_counts_without_pairs_equal_counts_of_pairs(spark, sf_dir):
         assert sorted(map(tuple, every.where(every.signal == key).drop("signal").collect())) == want
 
 
+def test_null_and_empty_countries_match_as_joins_do(spark):
+    """A null country matches nothing, an empty one an empty one."""
+    from tessera.operators import evaluate, signals
+    from tessera.sources import tables
+
+    rows = [(f"{s}-{i}", s, "acme", "one street", c, "acme", "acme", "one street") for s in ("S1", "S2", "S3") for i, c in enumerate((None, "", "US", None))]
+    rows += [("S2-9", "S2", None, "one street", "US", None, None, "one street"), ("S1-9", "S1", "", "", "US", "", "", "")]
+    records = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string, norm_name string, norm_name_legal string, norm_addr string")
+    truth = spark.createDataFrame([("S1-0", "S2-0", "S2"), ("S1-1", "S3-1", "S3"), ("S1-2", "S2-2", "S2"), ("S1-2", "S2-9", "S2")], "source1_entity_id string, target_entity_id string, target_source string")
+    s1, targets = tables.targets_of(records, "S1"), tables.targets_of(records)
+    every = evaluate.counts_of_signals(list(signals.SIGNALS.values()), s1, targets, truth).cache()
+    for key, signal in signals.SIGNALS.items():
+        pairs = evaluate.counts_of_pairs(evaluate.label(signals.candidates(signal, s1, targets), truth))
+        want = sorted(map(tuple, pairs.select("s1_id", *evaluate.COUNTS).collect()))
+        assert sorted(map(tuple, evaluate.counts_of_signal(signal, s1, targets, truth).collect())) == want
+        assert sorted(map(tuple, every.where(every.signal == key).drop("signal").collect())) == want
+        assert not signal.blocked or not {"S1-0", "S1-3"} & {r[0] for r in want}
+
+
+def test_split_of_a_hot_stratum_and_null_ids(spark):
+    from tessera.operators.split import stratified_split
+
+    rows = [(f"S1-{i}", "US", 0) for i in range(1000)] + [(f"S1-x{i}", None, 2) for i in range(10)] + [(None, "US", 1)] * 5
+    out = stratified_split(spark.createDataFrame(rows, "source1_entity_id string, country string, match_count int")).collect()
+    chosen = lambda stratum: [r["is_val"] for r in out if r["stratum"] == stratum]
+    assert len(out) == 1015 and [(len(chosen(s)), sum(chosen(s))) for s in ("US_0", "multi", "US_1")] == [(1000, 200), (10, 2), (5, 1)]
+
+
+def test_blocks_of_targets_do_not_change_the_ranks(spark, sf_dir, monkeypatch):
+    from tessera.operators import retrieval
+
+    b = plans.Bound(spark, sf_dir)
+    want = sorted(map(tuple, retrieval.top_k(b.s1, b.targets, 3, 5, 7).collect()))
+    for name, value in (("BLOCK_TARGETS", 5), ("_MOST_ROWS", 300), ("CELLS", 20)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.top_k(b.s1, b.targets, 3, 5, 7).collect())) == want and len(want) > 100
+
+
 def test_invariants(spark, sf_dir):
     q = plans.queries()
     panel = {r["key"]: r for r in q["metrics_panel"](spark, sf_dir).collect()}

@@ -47,6 +47,59 @@ def test_resume(spark, tmp_path):
     assert len(seen) == 8
 
 
+def test_store_of_other_rows_and_damaged_blocks(spark, tmp_path):
+    """Blocks of other inputs are not served; a damaged or short block is written again."""
+    queries = spark.range(60).withColumn("id", F.col("id").cast("string"))
+    seen = []
+
+    def run(factor):
+        values = queries.withColumn("value", F.length("id") * factor)
+
+        def work(df):
+            seen.append(1)
+            return df.select("id", "value")
+
+        return {r["id"]: r["value"] for r in sinks.ResumableStore(spark, str(tmp_path), 3, [values]).run(values, "id", work).collect()}
+
+    assert run(1)["10"] == 2 and run(2)["10"] == 4 and len(seen) == 6
+    assert run(1)["10"] == 2 and len(seen) == 6
+    folders = sorted(tmp_path.glob("*/data/block=1"))
+    for damaged, folder in enumerate(folders):
+        for part in folder.glob("part-*.parquet"):
+            part.unlink() if damaged else part.write_bytes(b"PAR1 no more")
+        for crc in folder.glob(".part-*.crc"):
+            crc.unlink()
+    assert run(1)["10"] == 2 and run(2)["10"] == 4 and len(seen) == 8 and len(run(2)) == 60
+
+
+def test_long_reports_are_whole(spark):
+    assert sinks.markdown_table(spark.range(250)).count("\n") == 252
+
+
+def test_shared_folder(spark):
+    from tessera.sources import shared
+
+    before = spark.conf.get(shared._BATCH_ROWS)
+    with shared.batches_of(spark, 7):
+        with shared.batches_of(spark, 9):
+            assert spark.conf.get(shared._BATCH_ROWS) == "7"
+        assert spark.conf.get(shared._BATCH_ROWS) == "7"
+    assert spark.conf.get(shared._BATCH_ROWS) == before
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.scratch(Cluster, "x")
+
+
+def test_session_settings(spark):
+    from tessera.session import session
+
+    assert session().conf.get("spark.sql.session.timeZone") == "UTC" and session(partitions=8).conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_heavy_keys(spark):
     from tessera.operators.signals import without_heavy_keys
 
