@@ -2,63 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy kernel call works on; longer texts go alone.
-TILE_BYTES = 1 << 19
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where that setting is absent (local tests), a temporary folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-
+from tessera.sources.shared import batches_of, discard, scratch, stored
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, plans that run hand over at most so many rows to Python at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+__all__ = ["batches_of", "discard", "sample_share", "scratch", "stored", "text_crc", "tiles", "utf8_buffers"]
 
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete stored tables that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for path in paths:
-        where = hadoop(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    paths.clear()
-
-
-def stored(df: DataFrame, name: str, batch_rows: int | None = None, into: list[str] | None = None) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: lineage ends here.
-
-    `batch_rows` bounds what Python gets at once, for plans whose rows are large. The folder's
-    path is added to `into`, for `discard` when the table has served."""
-    path = scratch(df.sparkSession, name)
-    if into is not None:
-        into.append(path)
-    with batches_of(df.sparkSession, batch_rows) if batch_rows else nullcontext():
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy kernel call works on; longer texts go alone.
+TILE_BYTES = 1 << 19
 
 
 def text_crc(column: str) -> Column:
@@ -66,9 +22,9 @@ def text_crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def sample_share(key: Column, share: float) -> Column:
-    """Rows whose hash of the key falls into the first `share` of all hash values."""
-    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+def sample_share(share: float, *keys: Column) -> Column:
+    """Rows whose hash of the keys falls into the first `share` of all hash values."""
+    return F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

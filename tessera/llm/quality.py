@@ -5,13 +5,13 @@ of a good and a bad training document give feature differences, and logistic los
 (Bradley-Terry) gives a weight vector w; w.x ranks documents. The cut is the quantile of the
 training scores that the share of bad labels names; a score is sigmoid(w.x - cut).
 
-The model is fitted on the driver on a sample of labelled rows, at most about `max_rows`
-(drawn by hash of the id; their features are 200-odd numbers a row). Scoring is one pass over
+The model is fitted on the driver on a sample of labelled documents, about `max_rows` (drawn by
+hash of the id; their features are 270-odd numbers a row) and never more than twice as many. Scoring is one pass over
 the whole texts without a shuffle.
 
 Null and empty texts have the features of an empty text and get its score. Labelled rows with
-a null label or id, or without a document, teach nothing; an id's repeated labels count as one
-row each. Without labels of both kinds every document is kept (score 0.5). Columns of the
+a null label or id, or without a document, teach nothing; rows with the same label and equal
+features count once. Without labels of both kinds every document is kept (score 0.5). Columns of the
 documents with the name of a result are replaced.
 """
 
@@ -38,43 +38,58 @@ _SHAPES = 16
 DAMPING = 64
 
 
-#: A longer text is the mean of its pieces of this many bytes, which bounds the memory.
+_SPACE, _UPPER, _LETTER = np.zeros((3, 256), bool)
+_SPACE[[9, 10, 32]] = _UPPER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
+#: A longer text is counted in pieces of this many bytes, which bounds the memory.
 _PIECE = 1 << 23
 
 
+def _counts(data: np.ndarray, offsets: np.ndarray, left: int = 32, right: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """By text: counts of bytes, and of shapes. `left` and `right` are the bytes around a piece
+    of a longer text; a text begins and ends as if between spaces."""
+    n, size = len(offsets) - 1, np.diff(offsets)
+    first, last = offsets[:-1][size > 0], offsets[1:][size > 0] - 1
+    text = np.repeat(np.arange(n, dtype=np.int64), size)
+    counts = np.bincount(text * 256 + data, minlength=n * 256).reshape(n, 256)
+    before = np.empty_like(data)
+    before[1:] = data[:-1]
+    before[first] = left
+    after = np.empty_like(data)
+    after[:-1] = data[1:]
+    after[last] = right
+    space, upper = _SPACE[data], _UPPER[data]
+    letter = upper | _LETTER[data]
+    begin, end = ~space & _SPACE[before], ~space & _SPACE[after]
+    # a text's first byte repeats nothing, whatever its left neighbour is
+    inside = np.ones(len(data), bool)
+    if left == 32:
+        inside[first] = False
+    pair, capital = (data == before) & ~letter & inside, upper & _UPPER[before]
+    total = lambda flags: np.add.reduceat(np.append(flags, False).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (size > 0)
+    shapes = (begin & ~letter, end & ~letter, begin & upper, begin & end, pair, capital, upper, ~letter & ~space, space, letter, data == 10, begin)
+    return counts, np.array([total(x) for x in shapes])
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row for each text: square roots of byte shares, shares of shapes, and its damping."""
-    if len(offsets) == 2 and len(data) > _PIECE:
-        pieces = [data[a : a + _PIECE] for a in range(0, len(data), _PIECE)]
-        rows = np.concatenate([features(x, np.array([0, len(x)])) for x in pieces])
-        return np.average(rows, axis=0, weights=[len(x) for x in pieces])[None]
     n = len(offsets) - 1
     size = np.diff(offsets)
     out = np.zeros((n, _BYTES + _SHAPES + 1))
     if not len(data):
         return out
-    text = np.repeat(np.arange(n, dtype=np.int64), size)
-    counts = np.bincount(text * 256 + data, minlength=n * 256).reshape(n, 256)
+    if n == 1 and len(data) > _PIECE:
+        edges = [*range(0, len(data), _PIECE), len(data)]
+        around = lambda at: int(data[at]) if 0 <= at < len(data) else 32
+        # the left neighbour is one that says whether it was there: a space does not count as one
+        parts = [_counts(data[a:b], np.array([0, b - a]), around(a - 1), around(b)) for a, b in zip(edges, edges[1:])]
+        counts, shapes = sum(c for c, _ in parts), sum(x for _, x in parts)
+        shapes[_PAIR] += sum(1 for a in edges[1:-1] if data[a] == data[a - 1] == 32)
+    else:
+        counts, shapes = _counts(data, offsets)
     some = np.maximum(size, 1)
     out[:, :_BYTES] = np.sqrt(counts / some[:, None])
-    space = (data == 32) | (data == 10) | (data == 9)
-    upper = (data >= 65) & (data <= 90)
-    lower = (data >= 97) & (data <= 122)
-    letter = upper | lower | (data >= 128)
-    begin = np.ones(len(data), bool)
-    begin[1:] = space[:-1]
-    begin[offsets[:-1][size > 0]] = True
-    begin &= ~space
-    end = np.ones(len(data), bool)
-    end[:-1] = space[1:]
-    end[offsets[1:][size > 0] - 1] = True
-    end &= ~space
-    total = lambda flags: np.add.reduceat(np.append(flags, False).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (size > 0)
-    words, lines = np.maximum(total(begin), 1), total(data == 10) + 1
-    pair = np.zeros(len(data), bool)
-    pair[1:] = (data[1:] == data[:-1]) & ~letter[1:]
-    capital = np.zeros(len(data), bool)
-    capital[1:] = upper[1:] & upper[:-1]
+    words, lines = np.maximum(shapes[-1], 1), shapes[-2] + 1
     tokens, at = W.text_words(data, offsets)
     owner = np.repeat(np.arange(n), np.diff(at))
     n_tokens = np.maximum(np.diff(at), 1)
@@ -87,19 +102,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.ones(len(tokens), bool)
     first[1:] = (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     distinct = np.bincount(owner[order][first], minlength=n)
-    shapes = (
-        total(begin & ~letter), total(end & ~letter), total(begin & upper), total(begin & end),
-        total(pair), total(capital), total(upper), total(~letter & ~space), total(space), total(letter), lines, words,
-        *again, distinct,
-    )
+    columns = (*shapes[:-2], lines, words, *again, distinct)
     per = (words, words, words, words, words, words, some, some, some, some, words, some, n_tokens, n_tokens, n_tokens, n_tokens)
-    for k, (count, base) in enumerate(zip(shapes, per, strict=True)):
+    for k, (count, base) in enumerate(zip(columns, per, strict=True)):
         out[:, _BYTES + k] = np.minimum(count / base, 4.0)
     out[:, -1] = size / (size + DAMPING)
     out[size == 0] = 0
     return out
 
 
+#: The place among the shapes of bytes that are no letter and stand twice.
+_PAIR = 4
+
+
 @dataclass
 class Model:
     """Scores are sigmoid(damping * (x - mean) . weights - cut)."""
@@ -147,11 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     """A model from about max_rows labelled documents; None where one kind of label is absent."""
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")).where("__key is not null and __label is not null")
+    known = known.distinct()  # repeated rows are summed up where they lie
     rows = known.count()
     if not rows:
         return None
-    taken = known.where(sample_share(F.col("__key"), max_rows / rows)) if rows > max_rows else known
-    wanted = spark.createDataFrame(taken.collect(), taken.schema)  # bounded by max_rows and its chance
+    taken = known.where(sample_share(max_rows / rows, F.col("__key"))) if rows > max_rows else known
+    wanted = spark.createDataFrame(taken.limit(2 * max_rows).collect(), taken.schema)
     sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(wanted), "__key").select("__label", "text")
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
@@ -161,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
             x = [row.tobytes() for a, b in tiles(offsets) for row in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], names=["label", "x"])
 
-    found = sample.mapInArrow(run, schema).collect()
+    found = sample.mapInArrow(run, schema).distinct().limit(2 * max_rows).collect()  # an id may have many rows
     found.sort(key=lambda r: (r.label, r.x))
     good, bad = ([np.frombuffer(r.x) for r in found if (r.label > 0) == kind] for kind in (True, False))
     if not good or not bad:
