@@ -12,13 +12,15 @@ within r of the query's own. By the triangle inequality no other ring has a bett
 Queries go to the blocks in packets, and a ring's blocks are dealt over salted keys, so a task
 meets at most `blocks_per_key` blocks of a key, whatever share of the vectors one ring holds.
 
-The pivots come from at most about `sample_rows` vectors, drawn by hash of the id; all
-vectors are indexed. Scores are exact integers.
+The pivots come from about `sample_rows` vectors, drawn by hash of id and vector, and never more
+than four times as many; all vectors are indexed. Scores are exact integers.
 
 Rows with a null id, a null or empty vector, or a null or non-finite component take no part.
-Vectors shorter than the longest of the sample and the norms are filled up with zeros. Equal
-rows count once; rows of one id are never each other's results. Other columns are ignored;
-an empty table, or one without queries, gives an empty result.
+Vectors shorter than the longest are filled up with zeros. Repeated rows are rows each, as in a
+join of queries and candidates on different ids: a candidate row comes as often as it is there,
+the results of all query rows of one id are ranked together, and rows of one id are never each
+other's results. Other columns are ignored; an empty table, or one without queries, gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -127,8 +129,8 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
     rows, top, width = vectors.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     if not rows:
         return None
-    chosen = vectors.where(sample_share(F.col("id"), min(1.0, sample_rows / rows))) if rows > sample_rows else vectors
-    sample = [r["v"] for r in chosen.collect()] or [vectors.first()["v"]]
+    chosen = vectors.where(sample_share(min(1.0, sample_rows / rows), F.col("id"), F.col("v"))) if rows > sample_rows else vectors
+    sample = [r["v"] for r in chosen.limit(4 * sample_rows).collect()] or [vectors.first()["v"]]
     sample.sort()
     space = Space(np.zeros((1, width + 1)), 1.0, top, width)
     lifted = space.lifted(np.array([[*v, *[0] * (width - len(v))] for v in sample], float))
@@ -147,9 +149,8 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.minimum(near // s.step, LAST_RING).astype(np.int32)), pa.array(near), batch.column("id"), pa.array(packed, pa.binary())], names=["pivot", "ring", "distance", "id", "v"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal (pivot, ring) of the sorted rows, each row once."""
+        """Runs of equal (pivot, ring) of the sorted rows."""
         key, ids, vs, ds = None, [], [], []
-        last = None
 
         def block() -> pa.RecordBatch:
             values = [*key, min(ds), max(ds), len(ids), np.array(ids, np.int64).tobytes(), b"".join(vs)]
@@ -158,9 +159,6 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
 
         for batch in batches:
             for pivot, ring, d, i, v in zip(*[batch.column(c).to_pylist() for c in ("pivot", "ring", "distance", "id", "v")], strict=True):
-                if (i, v) == last:
-                    continue
-                last = i, v
                 if ids and ((pivot, ring) != key or len(ids) >= block_rows):
                     yield block()
                     ids, vs, ds = [], [], []
@@ -288,22 +286,28 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
     many = F.create_map(*[F.lit(x) for r in held for x in (r["pivot"] * 1_000_000 + r["ring"], -(-r["count"] // BLOCKS_PER_KEY))])
     sizes = F.element_at(many, F.col("pivot") * 1_000_000 + F.col("ring"))
 
-    queries = rows.where(is_query).distinct()
+    queries = rows.where(is_query)
     width = space.width
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [row.tobytes() for row in _matrix(batch.column("v"), width).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), pa.nulls(batch.num_rows, pa.int64())], names=["qid", "qv", "bound"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["qid", "qv"])
 
-    asked = stored(queries.mapInArrow(wide, "qid long, qv binary, bound long").distinct(), "topk-queries", into=tables)
+    # equal query rows ask once; their results count as often as they are there
+    times = queries.mapInArrow(wide, "qid long, qv binary").groupBy("qid", "qv").agg(F.count("*").alias("times"))
+    asked = stored(times.withColumn("bound", F.lit(None).cast("long")), "topk-queries", into=tables)
     seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds", MEETING_ROWS, tables)
     best = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
     ranked = seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), "qv", F.col("score").alias("bound"))
-    bounded = asked.drop("bound").join(bounds, ["qid", "qv"], "left")
+    bounded = asked.select("qid", "qv").join(bounds, ["qid", "qv"], "left")
     rest = stored(_visit(_expand(bounded, shared, rings, False), index, sizes, shared, k), "topk-rest", MEETING_ROWS, tables)
-    final = ranked.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = ranked.drop("rank").unionByName(rest)
+    again = asked.where("times > 1").select(F.col("qid").alias("query_id"), "qv", F.least("times", F.lit(k)).alias("times"))
+    more = found.join(again, ["query_id", "qv"]).withColumn("nth", F.explode(F.sequence(F.lit(2).cast("long"), "times"))).select(found.columns)
+    together = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    final = found.unionByName(more).withColumn("rank", F.row_number().over(together)).where(F.col("rank") <= k)
     out = stored(final.select("query_id", "rank", "vec_id", "score"), "topk")
     discard(spark, tables)
     return out
