@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.common import stored, tiles, utf8_buffers
+from tessera.llm.common import discard, stored, tiles, utf8_buffers
 
 #: Words that a match needs, of a gram, and grams in a window: WINDOW = GRAM + GRAMS - 1.
 WINDOW, GRAM, GRAMS = 10, 5, 6
 BLOCK_BYTES = 16 << 20
+#: Pairs of equal fingerprints that are extended at once.
+PAIRS = 1 << 18
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _RESULT = [
@@ -65,6 +67,7 @@ class ItemIndex:
         self.owner = np.repeat(np.arange(len(ids)), sizes)
         hashes = W.grams(self.words, GRAM)
         at = winnow(self.words, self.offsets, hashes)
+        at = self._telling(at)
         order = np.argsort(hashes[at], kind="stable")
         self.at, self.prints = at[order], hashes[at][order]
         self.seen = np.zeros(1 << 20, bool)
@@ -76,23 +79,42 @@ class ItemIndex:
                 order = np.argsort(keys, kind="stable")
                 self.short[size] = keys[order], items[order]
 
-    def _found(self, keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into keys, index into sorted_keys) of equal values."""
+    def _telling(self, at: np.ndarray) -> np.ndarray:
+        """One of those positions of an item that have the same words around them, as far as a hit
+        is extended: a repetitive item has few."""
+        item = self.owner[at]
+        around = W.mix(item.astype(np.uint64))
+        for j in range(GRAM - WINDOW, WINDOW):
+            k = at + j
+            inside = (k >= self.offsets[item]) & (k < self.offsets[item + 1])
+            word = np.where(inside, self.words[np.clip(k, 0, max(len(self.words) - 1, 0))], np.uint64(j + WINDOW))
+            around = W.mix(around * np.uint64(0x9E3779B97F4A7C15) + word)
+        return at[np.sort(np.unique(around, return_index=True)[1])]
+
+    def _found(self, keys: np.ndarray, sorted_keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (index into keys, index into sorted_keys) of equal values, about PAIRS at a time."""
         low = np.searchsorted(sorted_keys, keys, "left")
         count = np.searchsorted(sorted_keys, keys, "right") - low
-        left = np.repeat(np.arange(len(keys)), count)
-        return left, np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + low[left]
+        some = np.flatnonzero(count)
+        if not len(some):
+            return
+        low, count = low[some], count[some]
+        begin = np.cumsum(count) - count
+        cuts = np.flatnonzero(np.diff(begin // PAIRS, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(some)]):
+            left = np.repeat(np.arange(a, b), count[a:b])
+            yield some[left], np.arange(len(left)) - begin[left] + begin[a] + low[left]
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A flag for each word of the texts, and unique pairs text * items + item."""
+        """A flag for each word of the texts, and unique pairs text * items + item. Whatever the
+        repetitions, memory is bounded by the words, the pairs of texts and items, and PAIRS."""
         n, edge = len(words), np.zeros(len(words) + 1, np.int64)
         text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         pairs = []
         hashes = W.grams(words, GRAM)
         at = winnow(words, offsets, hashes)
         at = at[self.seen[(hashes[at] >> np.uint64(44)).astype(np.int64)]]
-        left, right = self._found(hashes[at], self.prints)
-        if len(left):
+        for left, right in self._found(hashes[at], self.prints):
             p, q = at[left], self.at[right]
             text, item = text_of[p], self.owner[q]
             same = np.ones(len(p), bool)
@@ -112,15 +134,15 @@ class ItemIndex:
             full = back + GRAM + ahead >= WINDOW
             np.add.at(edge, (p - back)[full], 1)
             np.add.at(edge, (p + GRAM + ahead)[full], -1)
-            pairs.append(text[full] * len(self.ids) + item[full])
+            pairs.append(np.unique(text[full] * len(self.ids) + item[full]))
         for size, (keys, items) in self.short.items():
             starts, owner = W.gram_owner(offsets, size)
             if not len(starts):
                 continue
-            left, right = self._found(W.grams(words, size)[starts], keys)
-            np.add.at(edge, starts[left], 1)
-            np.add.at(edge, starts[left] + size, -1)
-            pairs.append(owner[left] * len(self.ids) + items[right])
+            for left, right in self._found(W.grams(words, size)[starts], keys):
+                np.add.at(edge, starts[left], 1)
+                np.add.at(edge, starts[left] + size, -1)
+                pairs.append(np.unique(owner[left] * len(self.ids) + items[right]))
         unique = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         return np.cumsum(edge[:n]) > 0, unique
 
@@ -201,7 +223,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: lis
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     keep = docs.columns if keep is None else keep
-    out = docs
+    out, before = docs, []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # block_bytes on average
         rows.sort(key=lambda r: (r.id, r.t))
@@ -209,8 +231,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: lis
         last = k == blocks - 1
         names = list(dict.fromkeys([*keep, *([] if last else [text])]))
         out = _pass(out, index, text, names, again=k > 0)
-        if not last:
-            out = stored(out, "decontaminate")
+        if blocks > 1:  # of the tables between the passes the last one stays, which has no texts
+            served = before.copy()
+            before = []
+            out = stored(out, "decontaminate", into=before)
+            discard(spark, served)
     # an id that repeats in the items counts once
     return out.withColumn("hit_items", F.array_sort(F.array_distinct("hit_items")))
 

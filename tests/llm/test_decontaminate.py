@@ -69,3 +69,31 @@ def test_query(same_as_sql):
 def test_no_items_digest(spark, sf_dir):
     rows = Q.QUERIES["op8_winnowing"](spark, sf_dir).where("n_items = 0").collect()
     assert {r["items_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_repetitive_texts(frame, spark, monkeypatch):
+    """Of one word, of a few in turn, against items as repetitive: right, and in bounded parts."""
+    monkeypatch.setattr(D, "PAIRS", 50)
+    docs = [(1, "a " * 700), (2, "a b " * 300), (3, "x " + "a " * 9), (4, "a " * 9), (5, "a b c " * 100 + "q " + "a " * 30), (6, "b " * 4)]
+    items = [("i", "a " * 200), ("j", "b a " * 40), ("k", "a " * 10), ("l", "b " * 3), ("m", "a b c " * 50), ("n", "a " * 200)]
+    found = D.scan(frame(docs), spark.createDataFrame(items, "item_id string, text string"), keep=["doc_id"]).collect()
+    want = brute(docs, items)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], set(r["hit_items"])) for r in found} == {k: (w, h, set(i)) for k, (w, h, i) in want.items()}
+
+
+def test_long_repetitive_text_in_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from tessera.llm import decontaminate as D, words as W
+from tessera.llm.common import utf8_buffers
+index = D.ItemIndex(["x"], ["a " * 200])
+words, at = W.text_words(*utf8_buffers(pa.array(["a " * 5_000_000])))
+flags, pairs = index.hits(words, at)
+assert flags.all() and pairs.tolist() == [0]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
+    assert int(out.stdout) < 1_000_000  # kilobytes
