@@ -5,13 +5,14 @@ parsed greedily into the longest phrases that the automaton knows; a phrase cost
 logarithm of that language's text length, and the language of least cost per byte wins.
 
 Learned on the driver from at most `passages` passages of `passage_bytes` characters a
-language, from rows drawn by hash of the id and from a hashed place in each. Passages that
+language, from rows drawn by hash of id and text and from a hashed place in each. Passages that
 automata of the other half of them give to another language are left out; the first TEXT_BYTES
 of the others are learned. All languages are, and one's text does not depend on how many there
 are. The automata are sparse: 8 bytes a transition, of which a text of n bytes has 3 n at most,
 and some free places. So the table, and the work for a byte of text, grow with the number of
-languages. Predictions read whole texts in one pass without a shuffle; texts are parsed in
-pieces of `_STEP` bytes, many pieces at a time.
+languages. Predictions read whole texts in one pass without a shuffle. A text is parsed as a
+whole: its pieces of `_STEP` bytes are first parsed side by side, each as if a phrase began with
+it, and then from the state in which the piece before ends, as far as that makes a difference.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no row has
 a language. Rows with a null language or text teach nothing; equal costs go to the
@@ -33,6 +34,8 @@ from tessera.llm.common import tiles, utf8_buffers
 
 PASSAGES, PASSAGE_CHARS, TEXT_BYTES = 64, 1024, 1 << 15
 _STEP = 1024
+#: Places in a piece where a second parsing stops if it is in the state of the first.
+_CHECKS = [0, 32, 128, _STEP]
 #: Bytes of text parsed at once by up to eight languages, and pieces times languages at once.
 _TILE, _AT_ONCE = 1 << 21, 1 << 18
 
@@ -116,10 +119,12 @@ class Parser:
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = list(texts)
+        self.texts: dict[str, bytes] = {}  # as learned
         tables, self.starts, self.bits, self.strange, restart, base = [], [], [], [], [], 0
         for name in self.languages:
             text = fold(np.frombuffer(b" ".join(texts[name])[:TEXT_BYTES], np.uint8))
-            moves = suffix_automaton(text.tobytes())
+            self.texts[name] = text.tobytes()
+            moves = suffix_automaton(self.texts[name])
             self.strange.append(np.array([byte not in moves[0] for byte in range(256)]))
             moves[0] = {byte: moves[0].get(byte, 0) for byte in range(256)}
             places, size = displaced(moves)
@@ -149,28 +154,58 @@ class Parser:
         nth = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
         begin = offsets[:-1][owner] + nth * _STEP
         length = np.minimum(size[owner] - nth * _STEP, _STEP)
-        order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
+        follows = np.flatnonzero(nth)  # pieces with one before them, which is the one at the left
+        ends = np.cumsum(pieces)[pieces > 0] - 1
         codes = fold(data)
-        alive = len(length) - np.searchsorted(length[::-1], np.arange(_STEP), "right")
         step = max(1, _AT_ONCE // len(owner))
         for low in range(0, k, step):
             some = range(low, min(k, low + step))
             starts = np.array(self.starts[low : low + step], np.int64)[:, None]
             first = np.array(some, np.int64)[:, None] * 256
-            state = np.repeat(starts, len(owner), 1)
-            count = np.zeros(state.shape, np.int32)
-            for i in range(int(length[0])):
-                m = int(alive[i])
-                byte = codes[begin[:m] + i].astype(np.int64)
-                at = state[:, :m]
-                now = self.table.take(at + byte)
-                ended = now >> 32 != at
-                count[:, :m] += ended
-                now &= 0xFFFFFFFF
-                np.copyto(now, self.restart.take(first + byte), where=ended)
-                state[:, :m] = now
-            whole = count + (state != starts)  # with the phrase still open at the end
+
+            def run(which: np.ndarray, state: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+                """States and ended phrases of these pieces after their bytes a to b."""
+                order = np.argsort(-length[which], kind="stable")
+                where, sizes = begin[which][order], length[which][order]
+                alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(a, b), "right")
+                state, count = state[:, order], np.zeros(state.shape, np.int64)
+                for i in range(a, min(b, int(sizes[0]))):
+                    m = int(alive[i - a])
+                    byte = codes[where[:m] + i].astype(np.int64)
+                    at = state[:, :m]
+                    now = self.table.take(at + byte)
+                    ended = now >> 32 != at
+                    count[:, :m] += ended
+                    now &= 0xFFFFFFFF
+                    np.copyto(now, self.restart.take(first + byte), where=ended)
+                    state[:, :m] = now
+                back = np.argsort(order)
+                return state[:, back], count[:, back]
+
+            every = np.arange(len(owner))
+            begun = np.repeat(starts, len(owner), 1)  # the states that the pieces were parsed from
+            states, counts, at = [], [], begun
+            for a, b in zip(_CHECKS, _CHECKS[1:]):
+                at, count = run(every, at, a, b)
+                states.append(at.copy())
+                counts.append(count)
+            todo = follows
+            while len(todo):
+                todo = todo[(states[-1][:, todo - 1] != begun[:, todo]).any(0)]
+                if not len(todo):
+                    break
+                begun[:, todo] = at = states[-1][:, todo - 1]
+                going = todo
+                for nr, (a, b) in enumerate(zip(_CHECKS, _CHECKS[1:])):
+                    at, counts[nr][:, going] = run(going, at, a, b)
+                    other = (at != states[nr][:, going]).any(0)
+                    states[nr][:, going] = at
+                    going, at = going[other], at[:, other]  # the others go on as they did before
+                    if not len(going):
+                        break
+                todo = np.intersect1d(going + 1, follows)  # whose left neighbour ends otherwise now
+            whole = sum(counts)
+            whole[:, ends] += states[-1][:, ends] != starts  # with the phrase still open at a text's end
             for j in some:
                 strange = np.diff(np.searchsorted(np.flatnonzero(self.strange[j][codes]), offsets))
                 out[:, j] = np.bincount(owner, weights=whole[j - low], minlength=n) + strange
@@ -211,11 +246,12 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
         return Parser({})
     spread = 1 << 30
     below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, passages / r["count"]) * spread))])
-    draw = F.xxhash64(F.col("key"), F.lit("passage"))
+    draw = F.xxhash64(F.col("key"), F.col("text"), F.lit("passage"))
     chosen = rows.withColumn("draw", draw).where(F.pmod("draw", F.lit(spread)) < F.coalesce(F.try_element_at(below, F.col("lang")), F.lit(0)))
     place = F.pmod(F.shiftright("draw", 31), F.greatest(F.length("text") - passage_chars, F.lit(1))).cast("int") + 1
     passage = F.substring("text", place, F.lit(passage_chars))
-    found = chosen.select("lang", "draw", F.lower(passage).alias("t")).collect()  # about `passages` a language
+    # equal rows are drawn together and count once, so these are about `passages` a language
+    found = chosen.select("lang", "draw", F.lower(passage).alias("t")).distinct().collect()
     texts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["t"])):
         if (passage := r["t"].encode()) not in texts[r["lang"]]:

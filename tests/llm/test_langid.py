@@ -22,18 +22,19 @@ def phrases(text, known):
     return count
 
 
-def test_parse_against_brute_force():
+def test_parse_against_brute_force(monkeypatch):
     random.seed(2)
     some = lambda letters, n: "".join(random.choice(letters) for _ in range(n)).encode()
     texts = {"a": [some("abc ", 300)], "b": [some("bcdé ", 300)]}
     parser = L.Parser(texts)
-    documents = [some("abcdeé 1", random.choice([0, 1, 5, 80, 1024, 1025])) for _ in range(60)]
+    documents = [some("abcdeé 1", random.choice([0, 1, 5, 80, 1024, 1025, 5000])) for _ in range(60)] + [b"a" * 4000, b"abc " * 1500]
     data = np.frombuffer(b"".join(documents), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
-    got = parser.phrases(data, offsets)
-    for i, document in enumerate(documents):
-        pieces = [document[k : k + L._STEP] for k in range(0, len(document), L._STEP)]
-        assert got[i].tolist() == [sum(phrases(p, b" ".join(texts[k])) for p in pieces) for k in ("a", "b")]
+    want = [[phrases(document, b" ".join(texts[k])) for k in ("a", "b")] for document in documents]
+    for step, checks in ((1024, [0, 32, 128, 1024]), (100, [0, 30, 100]), (7, [0, 3, 7])):  # whatever the pieces
+        monkeypatch.setattr(L, "_STEP", step)
+        monkeypatch.setattr(L, "_CHECKS", checks)
+        assert parser.phrases(data, offsets).tolist() == want
 
 
 def test_automaton_holds_all_substrings():
@@ -98,3 +99,28 @@ def test_edges(frame, edge):
     none = L.fit(train.limit(0))
     assert {r["lang_pred"] for r in L.identify(edge, none).collect()} == {"und"}
     assert L.identify(frame([]), parser).count() == 0
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Every prediction of the query from plain parses of whole texts."""
+    import math
+
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op6_cross_parsing"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    taught = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    parser = L.fit(spark.createDataFrame(taught, docs.schema))
+    known = {}
+    for language in parser.languages:  # the learned text, from the parser's own passages
+        known[language] = parser.texts[language]
+    for r in docs.collect():
+        text = (r["text"] or "").lower()
+        if len(text.encode()) > 3000:
+            continue
+        got = rows[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            assert got["lang_pred"] == "und" and got["score"] == 0
+            continue
+        cost = [phrases(text.encode(), known[k]) * math.log2(len(known[k])) for k in parser.languages]
+        best = min(range(len(cost)), key=cost.__getitem__)
+        assert got["lang_pred"] == parser.languages[best]
+        assert math.isclose(got["score"], 1 / sum(2.0 ** -min(c - cost[best], 1000) for c in cost), rel_tol=1e-9)
