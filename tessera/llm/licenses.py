@@ -1,12 +1,14 @@
 """License notices by conditional compression.
 
-Each place of a text with one of the cue words makes a candidate block, the text up to REACH
-characters before and after it, which holds any notice about that word. Each template is loaded
+Each place of a text with one of the cue words makes a candidate block, the text up to twice as
+many words before and after it as the longest template has, which holds any notice about that
+word, however its lines are broken, indented or commented. Each template is loaded
 as a zstandard raw dictionary, the block is compressed with and without it, both in lower case
 and with single spaces, and templates are ranked by the share of bytes they save. In that order
 they are checked on words, whatever they save: the template's words are aligned with the block's,
 and the first template of which at least 0.8 stand there in order, with all that tell it from
-others, is the notice, put out with its exact differences. Version numbers and other fields of a
+others, is the notice, put out with its exact differences; of templates that save as much but for
+CLOSE, the one that has the most words right, less those that differ. Version numbers and other fields of a
 template take any word. Only templates whose words are in the block at all are compressed.
 
 Whole texts are searched in one pass, without a shuffle. Null and empty texts have no notice;
@@ -18,9 +20,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Apache": "Licensed under the Apache License, Version {}.",
     "Apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "GPL": "This work is licensed under the GNU General Public License, version {}.",
@@ -38,6 +43,8 @@ TEMPLATES = {
     "LGPL": "This library is licensed under the GNU Lesser General Public License, version {}.",
     "AGPL": "This work is licensed under the GNU Affero General Public License, version {}.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL": "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "CC-BY": "Licensed under CC BY {}.",
@@ -53,7 +60,7 @@ TEMPLATES = {
 #: The words that make a block a candidate: every template has one of them. Between two words may
 #: stand a line's end and the mark of a comment.
 CUES = r"(?i)licen[sc]|copyright|copyleft|permi(?:ssion|tted)|redistribut|creative\W+commons|public\W+domain|rights\W+reserved|free\W+software|\bCC[ -]BY|\bSPDX\b"
-CONFIRMED, REACH = 0.8, 480
+CONFIRMED, CLOSE = 0.8, 0.02
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*|\{\}")
 
@@ -61,6 +68,11 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+@cache
+def _lists() -> dict[str, list[str]]:
+    return {k: words(v) for k, v in TEMPLATES.items()}
+
+
 @cache
 def _telling() -> dict[str, set[str]]:
     """Of the templates of fewer than 20 words, the words that no other such template has: they
@@ -71,7 +83,7 @@ def _telling() -> dict[str, set[str]]:
 
 @cache
 def _counted() -> dict[str, Counter]:
-    return {k: Counter(words(v)) for k, v in TEMPLATES.items()}
+    return {k: Counter(v) for k, v in _lists().items()}
 
 
 def possible(block_words: list[str]) -> list[str]:
@@ -114,8 +126,9 @@ def differences(name: str, block_words: list[str]) -> tuple[float, int, int, lis
     if not core.size:
         return 0.0, 0, 0, []
     # words of the template can only lie about where its longest run puts them
-    low = max(0, core.b - core.a - 4)
-    high = min(len(block_words), core.b + len(wanted) - core.a + 4)
+    more = 4 + len(wanted) // 4  # words that may have been put in
+    low = max(0, core.b - core.a - more)
+    high = min(len(block_words), core.b + len(wanted) - core.a + more)
     matcher = difflib.SequenceMatcher(None, wanted, block_words[low:high], autojunk=False)
     runs = [m for m in matcher.get_matching_blocks() if m.size]
     first, last = runs[0].b, runs[-1].b + runs[-1].size
@@ -138,34 +151,56 @@ def differences(name: str, block_words: list[str]) -> tuple[float, int, int, lis
 def notices(text: str) -> list[dict]:
     """The confirmed notices of a text in order of place: license, saved, match, start, end,
     quote and differences."""
-    found: list[dict] = []
+    reach = 2 * max(map(len, _lists().values()))
+    found: list[dict] = []  # by place; they do not overlap
+    starts: list[int] = []
+    places = own = None
     for hit in re.finditer(CUES, text):
-        begin, end = max(0, hit.start() - REACH), min(len(text), hit.end() + REACH)
-        while not any(n["start"] < hit.end() and n["end"] > hit.start() for n in found):
-            block = text[begin:end]
-            for n in found:  # what is found already is not found again
-                if n["start"] < end and n["end"] > begin:
-                    low, high = max(n["start"], begin) - begin, min(n["end"], end) - begin
-                    block = block[:low] + "\n" * (high - low) + block[high:]
-            note = _best(block)
+        if places is None:
+            places = [m.span() for m in _WORD.finditer(text)]
+            own = [text[a:b].lower() for a, b in places]
+            firsts = [a for a, _ in places]
+        nth = bisect_right(firsts, hit.start())
+        low, high = max(0, nth - reach), min(len(places), nth + reach)
+        while low < high:
+            after = bisect_right(starts, hit.start())
+            near = found[max(0, after - 1) : after + 1]
+            if any(n["start"] < hit.end() and n["end"] > hit.start() for n in near):
+                break
+            note = _best(text, places[low:high], own[low:high])
             if note is None:
                 break
-            found.append({**note, "start": note["start"] + begin, "end": note["end"] + begin})
-    return sorted(found, key=lambda n: n["start"])
-
-
-def _best(block: str) -> dict | None:
-    """The template that saves most of those that the words confirm."""
-    places = [(m.start(), m.end()) for m in _WORD.finditer(block)]
-    own = [block[a:b].lower() for a, b in places]
+            at = bisect_right(starts, note["start"])
+            found.insert(at, note)
+            starts.insert(at, note["start"])
+            # what is found already is not found again
+            for k in range(bisect_left(firsts, note["start"]), bisect_left(firsts, note["end"])):
+                own[k] = ""
+    return found
+
+
+def _best(text: str, places: list[tuple[int, int]], own: list[str]) -> dict | None:
+    """The template that saves most of those that the words confirm; words that other notices
+    took are empty."""
     names = possible(own)
-    for saved, name in savings(block, names) if names else ():
+    if not names:
+        return None
+    spans = [(key, list(group)) for key, group in groupby(range(len(own)), lambda k: own[k] == "")]
+    block = "\n".join(text[places[run[0]][0] : places[run[-1]][1]] for taken, run in spans if not taken)
+    best = None
+    for saved, name in savings(block, names):
+        if best and saved < best["saved"] - CLOSE:
+            break
         match, first, last, changes = differences(name, own)
         lost = {c[1:] for c in changes if c[0] == "-"}
-        if match >= CONFIRMED and not lost & _telling().get(name, set()):
+        # one notice lies between the words of others, not around them
+        if match >= CONFIRMED and not lost & _telling().get(name, set()) and "" not in own[first:last]:
             start, end = places[first][0], places[last - 1][1]
-            return {"license": name, "saved": round(saved, 4), "match": round(match, 4), "start": start, "end": end, "quote": block[start:end], "differences": changes}
-    return None
+            note = {"license": name, "saved": round(saved, 4), "match": round(match, 4), "start": start, "end": end, "quote": text[start:end], "differences": changes}
+            right = match * sum(w != "{}" for w in _lists()[name]) - len(changes)
+            if best is None or right > best["right"]:
+                best = {**note, "right": right}
+    return best and {k: v for k, v in best.items() if k != "right"}
 
 
 _NOTICES = T.ArrayType(T.StructType([

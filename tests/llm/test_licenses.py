@@ -31,6 +31,50 @@ def test_spdx():
     assert note["license"] == "SPDX" and note["quote"] == "SPDX-License-Identifier: Apache-2.0"
 
 
+@pytest.mark.parametrize("name", ["MIT-full", "MIT-text", "BSD-2-Clause", "BSD-3-Clause", "GPL-header"])
+def test_commented_notices_of_any_length_are_whole(name):
+    words = L.TEMPLATES[name].replace("{}", "3").split()
+    lines = "".join(" *" + " " * 40 + " ".join(words[i : i + 3]) + "\n" for i in range(0, len(words), 3))
+    (note,) = L.notices("int a;\n/*\n" + lines + " */\nint b;\n")
+    assert (note["license"], note["match"], note["differences"]) == (name, 1.0, [])
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert len(L.notices("five plain words stand here. All rights reserved. " * n)) == n
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(3000) < 40 * seconds(250)  # in proportion 12 times, by squares 144 times
+
+
+def plain_ranking(block, names):
+    """Templates by the share of bytes that each saves as a raw dictionary, one by one."""
+    import zstandard
+
+    fold = lambda t: " ".join(t.lower().split()).encode()
+    size = lambda **d: len(zstandard.ZstdCompressor(level=3, **d).compress(fold(block)))
+    share = {}
+    for name in names:
+        raw = zstandard.ZstdCompressionDict(fold(L.TEMPLATES[name].replace("{}", "")), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        share[name] = (size() - size(dict_data=raw)) / size()
+    return share
+
+
+@pytest.mark.parametrize("name", list(L.TEMPLATES))
+def test_ranking_against_plain_compression(name):
+    block = "Here it is: " + L.TEMPLATES[name].replace("{}", "4.0")
+    want = plain_ranking(block, L.TEMPLATES)
+    got = L.savings(block, list(L.TEMPLATES))
+    assert {k: round(v, 2) for v, k in got} == {k: round(v, 2) for k, v in want.items()}
+    # no template saves clearly more of a block than the notice found in it
+    (note,) = L.notices(block)
+    assert note["license"] == name and note["saved"] >= max(plain_ranking(block, L.possible(L.words(block))).values()) - L.CLOSE - 0.01
+
+
 def test_differences_are_exact():
     text = L.TEMPLATES["MIT-text"].replace("sublicense, ", "").replace("charge", "cost")
     (note,) = L.notices("x\n" + text)
