@@ -34,6 +34,7 @@ REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 100, 16 << 10, 409
 PAGES_AT_ONCE = 256
 _END = b"\r\n\r\n"
 _BATCH_BYTES = 4 << 20
+_INFLATE = 1 << 14
 
 
 def _chunked(body: bytes) -> bytes:
@@ -137,13 +138,21 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def unzip(data: bytes) -> bytes:
-    """All members of a gzip file, or the bytes themselves."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(parts) if parts else data
+    """All members of a gzip file, or the bytes themselves; a member for each record is usual."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts, at, view = [], 0, memoryview(data)
+    member = zlib.decompressobj(31)
+    while at < len(data):
+        # what lies behind a member's end comes back, so no more than a piece is handed over
+        piece = view[at : at + _INFLATE]
+        parts.append(member.decompress(piece))
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            if data[at : at + 2] != b"\x1f\x8b":
+                break
+            member = zlib.decompressobj(31)
+    return b"".join(parts)
 
 
 _HEADERS = ["warc-record-id", "warc-target-uri", "warc-type", "warc-refers-to", "warc-payload-digest", "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length"]
@@ -182,7 +191,8 @@ def reassembled(segments: DataFrame) -> DataFrame:
     head = [F.max(F.when(number == 1, F.col(c))).alias(c) for c in _RAW.names[1:5]]
     parts = F.array_sort(F.collect_list(F.struct(number.alias("number"), "block")))
     grouped = segments.groupBy(origin.alias("warc_record_id")).agg(*head, F.max(F.col("warc_segment_total_length").cast("long")).alias("total"), parts.alias("parts"))
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))
+    # joined as texts, whose bytes stay as they are: one copy, where concatenation in turn makes many
+    block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     right = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))
     grouped = grouped.withColumn("block", block).withColumn("whole", right & (F.col("total") == F.octet_length("block")))
     return grouped.select(*_RAW.names[:5], "block", F.coalesce("whole", F.lit(False)).alias("whole"))

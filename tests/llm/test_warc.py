@@ -54,6 +54,26 @@ def test_dechunk(body, want):
     assert warc.dechunk(body) == want
 
 
+def test_members_and_segments_take_time_in_proportion(spark, tmp_path):
+    """An archive of a member a record, as crawlers write them, and a page of many segments."""
+    import gzip
+    import time
+
+    def seconds(n):
+        data = b"".join(gzip.compress(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 400\r\n\r\n" + random.randbytes(400) + b"\r\n\r\n") for _ in range(n))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.parse(warc.unzip(data))) == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(24_000) < 40 * seconds(2_000)  # in proportion 12 times, by squares 144 times
+    assert warc.unzip(b"plain") == b"plain" and warc.unzip(gzip.compress(b"")) == b"" and warc.unzip(gzip.compress(b"a") + b"\0" * 9) == b"a"
+    html = "".join(random.choices("abc é日", k=3_000_000))
+    warc.write(spark.createDataFrame([(1, None, html, "x", "x")], SCHEMA), str(tmp_path / "large"), segment_bytes=500)
+    (page,) = warc.read(spark, str(tmp_path / "large")).collect()
+    assert page["valid"] and bytes(page["payload"]).decode() == html
+
+
 def test_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write(spark.createDataFrame([], SCHEMA), path)
