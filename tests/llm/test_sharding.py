@@ -47,3 +47,17 @@ def test_slots_do_not_depend_on_the_ranges(spark, sf_dir):
 
 def test_empty(frame):
     assert S.shard(frame([]), [1.0, 1.0]).count() == 0
+
+
+def test_hot_keys(frame):
+    """A key with most rows: gapless slots, in the order of keys, without one task for it."""
+    import hashlib
+
+    rows = [(7, f"t{i}") for i in range(3000)] + [(None, "n")] * 500 + [(i, "x") for i in range(2000)]
+    out = S.shard(frame(rows), [1.0] * 3, rows_per_range=10).collect()
+    assert len(out) == len(rows)
+    for s in range(3):
+        mine = sorted((r["slot"], r["doc_id"]) for r in out if r["shard"] == s)
+        assert [slot for slot, _ in mine] == list(range(len(mine)))
+        order = [hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:13] for _, k in mine]
+        assert order == sorted(order)
