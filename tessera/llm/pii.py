@@ -18,20 +18,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: The Spark setting that has the key; it comes from a secret store.
+KEY_SETTING = "spark.tessera.pii.key"
+_own_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting names. Without it, a random key that lasts as long as
+    the application: its pseudonyms link nothing beyond it, and nobody can reverse them later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key or _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 #: Patterns by kind, in the order in which they are tried at each place of a text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[0-9A-Fa-f]{24,128}(?![A-Za-z0-9])",
+    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[0-9A-Fa-f]{24,}(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9]|(?!T[0-9])[A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?<between>[.-])[0-9]{3}\k<between>[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?<between>[ .-])[0-9]{3}\k<between>[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<fours>[ -])[0-9]{4}\k<fours>[0-9]{4}\k<fours>[0-9]{1,7}|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9A-Za-z])",
 }
 #: The days of 400 years of the calendar from 1800-01-01, as a product.
@@ -214,7 +226,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"[0-9A-Fa-f]{24,128}$", 0)
+    value = F.regexp_extract(m, r"[0-9A-Fa-f]{24,}$", 0)
     head = F.substring(m, F.lit(1), F.length(m) - F.length(value))
     one_case = ~(value.rlike("[a-f]") & value.rlike("[A-F]"))
     mixed = value.rlike("[0-9]")

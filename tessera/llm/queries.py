@@ -52,12 +52,8 @@ def op4_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The key of the pseudonyms; in production it comes from a secret store.
-PII_KEY = "tessera-demonstration-key"
-
-
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY, found="pii_kinds")
+    docs = pii.pseudonymize(_table(spark, sf_dir, "documents"), pii.session_key(spark), found="pii_kinds")
     return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
