@@ -11,35 +11,40 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, neardup, packing, pii, quality
 from tessera.llm.common import discard, stored
-from tessera.llm.queries import PII_KEY, tokenizer_path
+from tessera.llm.queries import tokenizer_path
 from tessera.session import ship
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go; it learns from all labels."""
+    """Documents that the quality model rejects go; it learns from all labels. A null text is
+    judged as an empty one."""
     ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of exact and near copies the document of the least id stays."""
+    """Of each class of exact and near copies the document of the least id stays; of those without
+    an id one does. A null text is an empty one."""
     ship(spark)
     return neardup.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null and empty texts stay."""
     ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of their format; n_chars follows the text."""
-    return pii.pseudonymize(docs, PII_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data become pseudonyms of their format, keyed by the session; n_chars, where there
+    is such a column, follows the text. A null text stays null."""
+    out = pii.pseudonymize(docs, pii.session_key(spark))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    """Token pieces in sequences of 2048: doc_id, start, length, doc_tokens, sequence_id, offset,
+    ids. A null text is an empty one, whose only piece is the end id."""
     ship(spark)
     return packing.pack(docs, tokenizer_path())
 
