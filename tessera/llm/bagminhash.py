@@ -1,15 +1,19 @@
 """BagMinHash signatures of weighted sets.
 
-The weights are whole numbers, cut into the dyadic intervals [0, 1), [1, 2), [2, 4), [4, 8) ...
-Each (element, interval) is a Poisson process whose rate is the interval's width; its points
-have an arrival time, a component of the signature and a level within the interval, all drawn
-from the element's hash, and count if the level lies below the element's weight. A component
-of the signature is its earliest arrival, so two bags agree in a component with a chance that
-is exactly their weighted Jaccard similarity (sum of minima over sum of maxima of weights).
-
-Points are drawn in order of arrival up to a bound that depends on the bag's whole weight and
-leaves few components empty; bags with empty ones go on to twice the bound. So the work for a
-bag of n elements is about n + m ln m, whatever the weights.
+The weights are whole numbers. An element's points are a Poisson process over time and weight,
+taken apart as a hierarchy: the process over [0, 2^L) is split at its middle, its lower half
+again, and so on down to [0, 1). The upper halves, [1, 2), [2, 4), [4, 8) ..., are independent
+processes whose rate is their width, and those above the weight are never drawn. A point has an
+arrival time, a component of the signature and a level, all from the hashes of element and
+interval. In the one interval that the weight cuts, the level's binary digits are the choices of
+its further splits, and points in the halves beyond the weight are dropped, half of the drawn
+ones at most. A component of the signature is its earliest arrival, so two bags agree in a
+component with a chance that is exactly their weighted Jaccard similarity (sum of minima over
+sum of maxima of weights).
+
+Points are drawn in order of arrival, up to a bound by the bag's whole weight. As soon as no
+component is empty all later points lie beyond the current maximum, and the bag is done; others
+go on a step further. So the work for a bag of n elements is about n + m ln m, whatever the weights.
 """
 
 from __future__ import annotations
@@ -68,7 +72,8 @@ def signatures(grams: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int,
     if not len(seeds):
         return out.reshape(n, m)
     weight = np.bincount(owner, weights=counts, minlength=n)
-    bound = m / np.maximum(weight, 1) * (np.log(m) + 4)
+    step = m / np.maximum(weight, 1) * 1.5
+    bound = m / np.maximum(weight, 1) * np.log(m) + step
     reached = np.zeros(len(seeds))  # arrival of each node's latest point
     drawn = np.zeros(len(seeds), np.int64)  # points of each node so far
     todo = np.arange(len(seeds))
@@ -83,7 +88,7 @@ def signatures(grams: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int,
                     going.append(_draw(out, m, part, int(size), seeds, owners, widths, inside, reached, drawn, bound))
             todo = np.concatenate(going)
         empty = np.isinf(out.reshape(n, m)).any(1) & (weight > 0)
-        bound[empty] *= 2
+        bound[empty] += step[empty]
         todo = np.flatnonzero(empty[owners])
     return out.reshape(n, m)
 
@@ -125,16 +130,44 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """4 bits of a hash of each component, two to a byte."""
-    nibble = (mix(np.ascontiguousarray(signature).view(np.uint64)) >> np.uint64(60)).astype(np.uint8)
-    return nibble[:, ::2] << 4 | nibble[:, 1::2]
+#: Buckets of a profile: about one for two shingles, within these.
+FEWEST, MOST = 256, 1 << 14
 
 
-_SAME = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
-
-
-def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Similarity estimated from sketches: agreement less what 4 bits agree by chance."""
-    agree = _SAME[one ^ many].sum(1, dtype=np.int64) / (2 * many.shape[1])
-    return (agree - 1 / 16) / (15 / 16)
+def profiles(grams: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int) -> list[bytes]:
+    """Of each bag how much weight falls into each bucket of the hashes, in a byte, and behind
+    them, in 8 bytes, the sum of what goes beyond a byte."""
+    weight = np.bincount(owner, weights=counts, minlength=n)
+    bits = np.clip(np.ceil(np.log2(np.maximum(weight, 2) / 2)), np.log2(FEWEST), np.log2(MOST)).astype(np.int64)
+    ends = np.cumsum(1 << bits)
+    begin = ends - (1 << bits)
+    slot = begin[owner] + (grams >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    held = np.bincount(slot, weights=counts, minlength=int(ends[-1]) if n else 0).astype(np.int64)
+    low = np.minimum(held, 255).astype(np.uint8)
+    over = np.add.reduceat(held - low, begin) if n else held
+    return [low[a:b].tobytes() + int(x).to_bytes(8, "little") for a, b, x in zip(begin, ends, over, strict=True)]
+
+
+class Profiles:
+    """Profiles of many bags, to bound what they share with another one: never too low."""
+
+    def __init__(self, raw: list[bytes]):
+        self.fine = [np.frombuffer(x, np.uint8, len(x) - 8) for x in raw]
+        self.over = np.array([int.from_bytes(x[-8:], "little") for x in raw], np.int64)
+        self.coarse = np.array([folded(x, FEWEST) for x in self.fine])
+
+    def most_shared(self, k: int, others: "Profiles", at: np.ndarray, enough: np.ndarray) -> np.ndarray:
+        """An upper bound of the weight that bag k shares with each of the others `at`; where the
+        coarse bound reaches `enough`, by finer buckets, if both have them."""
+        more = np.minimum(self.over[k], others.over[at])
+        out = np.minimum(self.coarse[k], others.coarse[at]).sum(1, dtype=np.int64) + more
+        for i in np.flatnonzero(out >= enough):
+            size = min(len(self.fine[k]), len(others.fine[at[i]]))
+            if size > FEWEST:
+                out[i] = np.minimum(folded(self.fine[k], size), folded(others.fine[at[i]], size)).sum(dtype=np.int64) + more[i]
+        return out
+
+
+def folded(profile: np.ndarray, size: int) -> np.ndarray:
+    """The profile in fewer buckets."""
+    return profile.reshape(size, -1).sum(1, dtype=np.uint16 if len(profile) // size < 257 else np.int64)

@@ -5,16 +5,18 @@ linked if the weighted Jaccard similarity of their multisets is at least 0.8; a
 connected component of links. The steps:
 
 1. One pass over the texts gives each document the fingerprint of its multiset, the keys of 48
-   bands of 7 BagMinHash components and a 4-bit sketch of 512 components. A pair at 0.8 shares
-   a band with a chance of 1 - 1e-5. Equal multisets become one node.
+   bands of 7 BagMinHash components and a profile, the multiset's weight by buckets of the
+   hashes. A pair at 0.8 shares a band with a chance of 1 - 1e-5. Equal multisets become one node.
 2. Keys that several nodes share are buckets. In each, all nodes are compared with one hub, the
    node in the middle of a bounded sample of the bucket: no more pairs than rows.
 3. Links are verified on the whole multisets, and connected components are found.
 4. In buckets that still hold several components, the nodes outside the hub's component are
-   compared with the rest, by sketch and in packets. A pair that the sketch puts below 0.73
-   (four standard errors under 0.8) goes; the others are verified as before, each pair once.
+   compared with the rest, by profile and in packets. Two profiles bound the similarity from
+   above, so a pair that they put below 0.8 is none, for certain; the others are verified as
+   before, each pair once.
 
 So links are found without listing the pairs of a group, and classes are those of all links.
+Buckets are dealt over salted keys by their size, so no join sends one to a single task.
 
 A null text is an empty one. Documents without words are equal if their texts are. Rows with a
 null id are classified too, and a class of such rows alone has a null id. Rows that repeat an
@@ -38,8 +40,9 @@ from tessera.llm.common import discard, stored, tiles, utf8_buffers
 from tessera.llm.components import components
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 48
-SKETCHED = SIMILARITY - 4 * (0.8125 * 0.1875 / B.COMPONENTS) ** 0.5 / (15 / 16)
-HUB_SAMPLE, PACKET, MEMBERS_PER_SALT = 64, 256, 4096
+HUB_SAMPLE, PACKET, MEMBERS_PER_SALT = 64, 256, 512
+#: Parts of every key before sizes are known.
+SPREAD = 8
 #: Rows that Python gets at once where a row holds two packets, two multisets, or a text.
 PACKET_ROWS, BAG_ROWS, TEXT_ROWS = 16, 512, 2000
 #: Bits of the filter that keeps unneeded texts from the shuffle: 8 for each document wanted, within these.
@@ -89,16 +92,16 @@ def _signed(docs: DataFrame, key: str, text: str, digests: bool = False) -> Data
                 prints = _prints(grams, owner, counts, part, at)
                 signature = B.signatures(grams, owner, counts, b - a)
                 weight = np.bincount(owner, weights=counts, minlength=b - a).astype(np.int64)
-                bands, sketch = B.band_keys(signature, ROWS, BANDS), B.sketches(signature)
+                bands, profile = B.band_keys(signature, ROWS, BANDS), B.profiles(grams, owner, counts, b - a)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(weight),
                     pa.array([x.tobytes() if w else None for x, w in zip(bands, weight, strict=True)], pa.binary()),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    pa.array(profile, pa.binary()),
                     *[batch.column(2 + i).slice(a, b - a) for i in range(len(more))],
-                ], names=["id", "f1", "f2", "weight", "bands", "sketch", *more])
+                ], names=["id", "f1", "f2", "weight", "bands", "profile", *more])
 
     columns = [F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *[c.alias(name) for name, c in hashes.items()]]
-    return docs.select(*columns).mapInArrow(run, ", ".join(["id long, f1 long, f2 long, weight long, bands binary, sketch binary", *[f"{name} long" for name in more]]))
+    return docs.select(*columns).mapInArrow(run, ", ".join(["id long, f1 long, f2 long, weight long, bands binary, profile binary", *[f"{name} long" for name in more]]))
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
@@ -113,23 +116,35 @@ def _band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.where("bands is not null").select("node", "bands").mapInArrow(run, "key long, node long")
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """key, hub: of a bounded sample of each bucket the node most like the others of it."""
+def _salted(members: DataFrame) -> DataFrame:
+    """Members with a part of their bucket, of which there are as many as its size needs."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / MEMBERS_PER_SALT)))
+
+
+def _for_each_salt(keys: DataFrame) -> DataFrame:
+    """Rows of a bucket (key, size) once for each part of it."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / MEMBERS_PER_SALT) - 1))).drop("size")
+
+
+def _hubs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, hub, size: of a bounded sample of each bucket the node most like the others of it."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
     sample = members.where("size > 2").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUB_SAMPLE)
-    lists = sample.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))  # HUB_SAMPLE at most
+    profiled = sample.join(nodes.select("node", "profile"), "node")
+    lists = profiled.groupBy("key", "size").agg(F.collect_list(F.struct("node", "profile")).alias("m"))  # HUB_SAMPLE at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs = []
-            for rows in batch.column(1).to_pylist():
+            for rows in batch.column(2).to_pylist():
                 rows.sort(key=lambda m: m["node"])
-                x = np.array([np.frombuffer(m["sketch"], np.uint8) for m in rows])
-                hubs.append(rows[int(np.argmax([B.similarity(one, x).sum() for one in x]))]["node"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hubs, pa.int64())], names=["key", "hub"])
+                x = B.Profiles([m["profile"] for m in rows]).coarse.astype(np.int64)
+                shared = np.array([np.minimum(one, x).sum(1) / np.maximum(one, x).sum(1) for one in x])
+                hubs.append(rows[int(shared.sum(1).argmax())]["node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hubs, pa.int64()), batch.column(1)], names=["key", "hub", "size"])
 
-    large = lists.mapInArrow(run, "key long, hub long")
-    return large.unionByName(members.where("size = 2").groupBy("key").agg(F.min("node").alias("hub")))
+    large = lists.mapInArrow(run, "key long, hub long, size long")
+    return large.unionByName(members.where("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.lit(2).cast("long").alias("size")))
 
 
 def _wanted_filter(ids: DataFrame, bits: int) -> np.ndarray:
@@ -202,103 +217,108 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-_PACKET_TYPE = pa.list_(pa.struct([("node", pa.int64()), ("label", pa.int64()), ("weight", pa.int64()), ("sketch", pa.binary()), ("bands", pa.binary())]))
-_MEMBER = "struct<node:long,label:long,weight:long,sketch:binary,bands:binary>"
+_PACKET_TYPE = pa.list_(pa.struct([("node", pa.int64()), ("label", pa.int64()), ("weight", pa.int64()), ("profile", pa.binary()), ("bands", pa.binary())]))
+_MEMBER = "struct<node:long,label:long,weight:long,profile:binary,bands:binary>"
 
 
 def _packets(members: DataFrame, name: str) -> DataFrame:
-    """key and lists of at most PACKET members; large buckets are dealt over several tasks."""
+    """key, hub_label, size and lists of at most PACKET members of a part of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def packets(found: list[tuple]) -> pa.RecordBatch:
+            keys = zip(*[k for k, _ in found], strict=True)
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in keys], pa.array([r for _, r in found], _PACKET_TYPE)], names=["key", "hub_label", "size", name])
+
         for batch in batches:
             out: list[tuple] = []
-            for k, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *k, member in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if rows and (k != key or len(rows) >= PACKET):
                     out.append((key, rows))
                     rows = []
                 key = k
                 rows.append(member)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([r for _, r in out], _PACKET_TYPE)], names=["key", name])
+                yield packets(out)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([rows], _PACKET_TYPE)], names=["key", name])
+            yield packets([(key, rows)])
 
-    salts = F.ceil(F.col("size") / MEMBERS_PER_SALT)
-    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return dealt.select("key", F.struct("node", "label", "weight", "sketch", "bands").alias("m")).mapInArrow(run, f"key long, {name} array<{_MEMBER}>")
+    dealt = members.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.select("key", "hub_label", "size", F.struct("node", "label", "weight", "profile", "bands").alias("m")).mapInArrow(run, f"key long, hub_label long, size long, {name} array<{_MEMBER}>")
 
 
-def _rest_pairs(members: DataFrame, threshold: float, sketched: float) -> DataFrame:
-    """Pairs of different components within a bucket that the sketches do not rule out, each
-    pair in the first band that both share only. `members` has hub_label."""
-    mixed = members.where("label <> hub_label").select("key").distinct()
-    inside = members.join(mixed, "key", "left_semi")
-    outer = _packets(inside.where("label <> hub_label"), "outer")
-    every = _packets(inside, "every")
+def _rest_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components within a bucket that the profiles do not rule out, each pair
+    in the first band that both share only. `members` are those of mixed buckets, with hub_label."""
+    outer = _packets(members.where("label <> hub_label"), "outer")
+    every = _packets(members, "every")
 
     def columns(rows):
         number = lambda f: np.array([m[f] for m in rows], np.int64)
-        return number("node"), number("label"), number("weight"), np.array([np.frombuffer(m["sketch"], np.uint8) for m in rows]), np.array([np.frombuffer(m["bands"], np.int64) for m in rows])
+        return number("node"), number("label"), number("weight"), np.array([np.frombuffer(m["bands"], np.int64) for m in rows]), B.Profiles([m["profile"] for m in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                node, label, weight, sketch, bands = columns(batch.column(2)[i].as_py())
-                hub_label = batch.column(3)[i].as_py()
-                for m in zip(*columns(batch.column(1)[i].as_py()), strict=True):
+                key, hub_label = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                node, label, weight, bands, profile = columns(batch.column(3)[i].as_py())
+                *asking, own = columns(batch.column(2)[i].as_py())
+                for k, m in enumerate(zip(*asking, strict=True)):
                     # of two outer nodes the smaller one asks
                     open_ = (label != m[1]) & ((label == hub_label) | (node > m[0]))
                     open_ &= (weight >= threshold * m[2] - 1e-9) & (m[2] >= threshold * weight - 1e-9)
                     at = np.flatnonzero(open_)
-                    at = at[B.similarity(m[3], sketch[at]) >= sketched]
+                    enough = threshold / (1 + threshold) * (weight[at] + m[2]) - 1e-6
+                    at = at[own.most_shared(k, profile, at, enough) >= enough]
                     if len(at):
-                        shared = bands[at] == m[4]
+                        shared = bands[at] == m[3]
                         first = bands[at][np.arange(len(at)), shared.argmax(1)]
                         found += [(min(m[0], x), max(m[0], x)) for x in node[at[first == key]].tolist()]
             u, v = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    labels = members.select("key", "hub_label").distinct()
-    met = outer.join(every, "key").join(labels, "key").select("key", "outer", "every", "hub_label")
+    # each outer packet goes to one part of its bucket, and all packets of the bucket to every part
+    asked = outer.withColumn("salt", F.pmod(F.xxhash64(F.col("outer")[0]["node"]), F.ceil(F.col("size") / MEMBERS_PER_SALT))).drop("size")
+    met = asked.join(_for_each_salt(every).drop("hub_label"), ["key", "salt"]).select("key", "hub_label", "outer", "every")
     return met.mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, sketched: float = SKETCHED) -> DataFrame:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """id, class_id (the least id of its class) and text_class (of those with its multiset) of
     every document."""
-    return _classed(docs, key, text, threshold, sketched)
+    return _classed(docs, key, text, threshold)
 
 
-def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY, sketched: float = SKETCHED, digests: bool = False) -> DataFrame:
+def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY, digests: bool = False) -> DataFrame:
     """The rows of classes(); with `digests` instead d1, d2, class (a node) and id."""
     extra = ["d1", "d2"] if digests else []
     tables: list[str] = []
     kept = partial(stored, into=tables)
     rows = kept(_signed(docs, key, text, digests).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
-    nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "sketch")])
+    nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "profile")])
     nodes = kept(nodes, "neardup-nodes")
     band_rows = _band_rows(nodes)
     shared = band_rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = kept(band_rows.join(shared, "key"), "neardup-buckets")
+    part = F.pmod(F.xxhash64("node"), F.lit(SPREAD))
+    spread = shared.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    members = kept(_salted(band_rows.withColumn("part", part).join(spread, ["key", "part"]).drop("part")), "neardup-buckets")
     in_buckets = kept(nodes.join(members.select("node").distinct(), "node", "left_semi"), "neardup-candidates")
-    sketched_members = members.join(in_buckets.select("node", "sketch"), "node")
-    hubs = kept(_hubs(sketched_members), "neardup-hubs")
+    hubs = kept(_hubs(members, in_buckets), "neardup-hubs")
     bags = kept(_bags(docs, in_buckets, key, text), "neardup-bags", TEXT_ROWS)
 
-    pairs = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    pairs = members.join(_for_each_salt(hubs), ["key", "salt"]).where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     links = kept(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
     label = kept(components(links, tables), "neardup-labels")
 
-    named = in_buckets.select("node", "weight", "sketch", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    with_hub = hubs.join(named.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub").select("key", "hub_label")
+    named = in_buckets.select("node", "weight", "profile", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    with_hub = hubs.join(named.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub").select("key", "hub_label", "size")
     # only buckets that hold several components go on
-    light = members.join(named.select("node", "label"), "node").join(with_hub, "key")
-    mixed = light.where("label <> hub_label").select("key").distinct()
-    left = kept(light.join(mixed, "key", "left_semi"), "neardup-mixed")
-    rest = kept(_rest_pairs(left.join(named.drop("label"), "node"), threshold, sketched), "neardup-rest", PACKET_ROWS)
+    light = members.join(named.select("node", "label"), "node").join(_for_each_salt(with_hub), ["key", "salt"])
+    mixed = light.where("label <> hub_label").select("key", "size").distinct()
+    left = kept(light.join(_for_each_salt(mixed), ["key", "salt"], "left_semi"), "neardup-mixed")
+    rest = kept(_rest_pairs(left.join(named.drop("label"), "node"), threshold), "neardup-rest", PACKET_ROWS)
     if rest.head(1):  # else the components are the classes already
         more = kept(_verified(rest, bags, threshold), "neardup-more", BAG_ROWS)
         edges = label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)

@@ -98,6 +98,63 @@ def test_rows_are_dropped_one_by_one(frame):
     assert len(kept) == 5 and kept[4][0] == "None" and kept[4][1].startswith(d)
 
 
+def test_profiles_never_bound_too_low():
+    """Of bags of any size, with counts beyond a byte, and of sizes that differ."""
+    random.seed(5)
+    raw, bags = [], []
+    for size in (0, 1, 3, 200, 600, 700, 5000, 40_000):
+        for most in (1, 3, 2000):
+            grams = np.unique(W.mix(np.array(random.sample(range(60_000), size), np.uint64)))
+            counts = np.array([random.randint(1, most) for _ in grams], np.int64)
+            raw += B.profiles(grams, np.zeros(len(grams), np.int64), counts, 1)
+            bags.append(Counter(dict(zip(grams.tolist(), counts.tolist()))))
+    several = B.Profiles(raw)
+    every = np.arange(len(raw))
+    for k, bag_ in enumerate(bags):
+        shared = np.array([(bag_ & other).total() for other in bags])
+        for enough in (0, 1 << 60):
+            assert (several.most_shared(k, several, every, np.full(len(raw), enough)) >= shared).all()
+    assert several.most_shared(12, several, np.array([12]), np.array([0])) == [bags[12].total()]
+
+
+def test_hot_bucket_of_unlinked_texts(frame, monkeypatch):
+    """Texts that share much, of which few are links, in buckets dealt over several parts."""
+    monkeypatch.setattr(N, "MEMBERS_PER_SALT", 8)
+    monkeypatch.setattr(N, "PACKET", 5)
+    monkeypatch.setattr(N, "HUB_SAMPLE", 4)
+    random.seed(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        words = base.copy()
+        at = random.randrange(150)
+        words[at : at + 16] = [f"u{i // 2}x{j}" for j in range(16)]
+        if i % 2:
+            words[(at + 60) % 190] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    assert classes(frame(rows)) == brute(rows)
+
+
+def test_recall_of_edited_copies(frame):
+    """What the similarity of 0.8 on five words means for copies with a share of words replaced:
+    all with up to 2 %, few with 4 % and more."""
+    random.seed(12)
+    word = lambda: f"{random.choice('abcdefgh')}{random.randrange(3000)}"
+    rows, found = [], {}
+    for share in (0.005, 0.01, 0.02, 0.04):
+        for nth in range(25):
+            key = len(rows)
+            text = [word() for _ in range(400)]
+            copy = text.copy()
+            for at in random.sample(range(400), round(400 * share)):
+                copy[at] = word() + "x"
+            rows += [(key, " ".join(text)), (key + 1, " ".join(copy))]
+            found[key + 1] = share
+    got = dict(classes(frame(rows)))
+    recall = {s: sum(got[str(k)] == str(k - 1) for k, x in found.items() if x == s) / 25 for s in set(found.values())}
+    assert recall[0.005] == recall[0.01] == 1 and recall[0.02] >= 0.9 and recall[0.04] <= 0.1
+
+
 def test_signature_is_unbiased():
     draw = np.random.default_rng(0)
     grams = np.arange(300, dtype=np.uint64)
