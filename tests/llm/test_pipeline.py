@@ -81,3 +81,17 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edge_rows_through_all_stages(spark, sf_dir, edge):
+    """Null ids and texts, empty, very long and repeated texts, clashing columns, no n_chars."""
+    before = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    docs = edge.drop("n_chars")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == [c for c in edge.columns if c != "n_chars"], name
+        assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= set(before)
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(str(k) for k, _ in kept) == sorted(["1", "3", "4", "5", "7", "8", "9", "10", "None", "None"])
+    pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert {p["doc_id"] for p in pieces} == {k for k, _ in kept} and sum(p["start"] == 0 for p in pieces) == len(kept)
