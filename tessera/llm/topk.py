@@ -4,13 +4,15 @@ Vectors become integers, floor(1024 x). With one more coordinate, sqrt(M - |x|^2
 largest squared norm M, the nearest vectors of a query (whose added coordinate is 0) are those
 of the highest inner product: distance^2 = M + |q|^2 - 2 q.x. Each vector is keyed by its
 nearest pivot and its distance from it, cut into rings of equal width; the index is the
-vectors sorted by that key, in blocks of at most `block_rows` of one ring.
+vectors sorted by that key, in blocks of at most `block_rows` of one ring. Pivots and rings
+follow the number of rows; neighbouring blocks of a ring, at most `BLOCKS_PER_KEY`, are an annulus.
 
 A search first visits the ring that holds the query, which gives a bound on its k-th score
 and so a radius r; then, pivot by pivot, it expands to the rings that hold any distance
 within r of the query's own. By the triangle inequality no other ring has a better vector.
-Queries go to the blocks in packets, and a ring's blocks are dealt over salted keys, so a task
-meets at most `blocks_per_key` blocks of a key, whatever share of the vectors one ring holds.
+Queries go to the rings in packets, sorted by distance; a packet meets only the annuli within
+the reach of its queries, and in them the blocks. An annulus is a key of the join, so a task
+meets a bounded number of blocks of a key, whatever share of the vectors one ring holds.
 
 The pivots come from about `sample_rows` vectors, drawn by hash of id and vector, and never more
 than four times as many; all vectors are indexed. Scores are exact integers.
@@ -25,17 +27,23 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import discard, sample_share, stored
 
-PIVOTS, RINGS, SAMPLE_ROWS, BLOCK_ROWS, PACKET_ROWS, BLOCKS_PER_KEY = 16, 8, 2048, 2048, 256, 64
+#: The least number of pivots and of rings of a pivot, and the most to which they grow.
+PIVOTS, RINGS, MOST_PIVOTS, MOST_RINGS = 16, 8, 64, 48
+SAMPLE_ROWS, BLOCK_ROWS, PACKET_ROWS, BLOCKS_PER_KEY = 2048, 2048, 256, 64
+#: Pairs of query and ring that are put out at once.
+_PAIRS = 1 << 15
 #: Rows that Python gets at once where a row holds a packet and a block.
 MEETING_ROWS = 8
 #: Whatever lies farther out than the sample did is in the last ring, which has no outer bound.
@@ -118,17 +126,24 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
 
 
-_BLOCK = "pivot int, ring int, low double, high double, n int, ids binary, vectors binary"
+_BLOCK = "pivot int, ring int, annulus long, low double, high double, n int, ids binary, vectors binary"
 
 
-def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
-          into: list[str] | None = None) -> tuple[DataFrame, Space] | None:
+def grid(rows: int, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """Pivots and rings for so many vectors: rings of about one annulus, within the limits."""
+    pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows // block_rows)))
+    return pivots, min(MOST_RINGS, max(RINGS, rows // (pivots * BLOCKS_PER_KEY * block_rows)))
+
+
+def build(vectors: DataFrame, *, pivots: int | None = None, rings: int | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
+          blocks_per_key: int = BLOCKS_PER_KEY, into: list[str] | None = None) -> tuple[DataFrame, Space] | None:
     """The blocks of the index, stored, and its space; None of no vectors. Takes id and v."""
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     rows, top, width = vectors.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     if not rows:
         return None
+    pivots, rings = pivots or grid(rows, block_rows)[0], rings or grid(rows, block_rows)[1]
     chosen = vectors.where(sample_share(min(1.0, sample_rows / rows), F.col("id"), F.col("v"))) if rows > sample_rows else vectors
     sample = [r["v"] for r in chosen.limit(4 * sample_rows).collect()] or [vectors.first()["v"]]
     sample.sort()
@@ -149,18 +164,23 @@ def build(vectors: DataFrame, *, pivots: int = PIVOTS, rings: int = RINGS, sampl
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.minimum(near // s.step, LAST_RING).astype(np.int32)), pa.array(near), batch.column("id"), pa.array(packed, pa.binary())], names=["pivot", "ring", "distance", "id", "v"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal (pivot, ring) of the sorted rows."""
+        """Runs of equal (pivot, ring) of the sorted rows; so many of them in turn are an annulus."""
         key, ids, vs, ds = None, [], [], []
+        annulus, held = TaskContext.get().partitionId() << 33, 0
 
         def block() -> pa.RecordBatch:
-            values = [*key, min(ds), max(ds), len(ids), np.array(ids, np.int64).tobytes(), b"".join(vs)]
-            types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["pivot", "ring", "low", "high", "n", "ids", "vectors"])
+            values = [*key, annulus, min(ds), max(ds), len(ids), np.array(ids, np.int64).tobytes(), b"".join(vs)]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["pivot", "ring", "annulus", "low", "high", "n", "ids", "vectors"])
 
         for batch in batches:
             for pivot, ring, d, i, v in zip(*[batch.column(c).to_pylist() for c in ("pivot", "ring", "distance", "id", "v")], strict=True):
-                if ids and ((pivot, ring) != key or len(ids) >= block_rows):
+                changed = (pivot, ring) != key
+                if ids and (changed or len(ids) >= block_rows):
                     yield block()
+                    held += 1
+                    if changed or held >= blocks_per_key:
+                        annulus, held = annulus + 1, 0
                     ids, vs, ds = [], [], []
                 key = pivot, ring
                 ids.append(i)
@@ -178,95 +198,88 @@ _QUERY = "pivot int, ring int, qid long, qv binary, distance double, bound long,
 _HIT = "query_id long, qv binary, vec_id long, score long"
 
 
-def _expand(queries: DataFrame, shared, rings: list[tuple[int, int]], first: bool) -> DataFrame:
+def _expand(queries: DataFrame, shared, rings: list[tuple[int, int, float, float]], first: bool) -> DataFrame:
     """(pivot, ring) to visit for each query (qid, qv, bound): its home at first, and then all
-    others that its radius reaches. `rings`: those that hold vectors."""
-    by_pivot: dict[int, np.ndarray] = {}
-    for p in {p for p, _ in rings}:
-        by_pivot[p] = np.array(sorted(r for q, r in rings if q == p))
+    others that its radius reaches. `rings`: those that hold vectors, with their distances."""
+    pivot, ring, low, high = (np.array(x) for x in zip(*rings, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
+        step = max(1, _PAIRS // len(pivot))
         for batch in batches:
-            out: list[tuple] = []
-            ids, raw, bounds = (batch.column(c).to_pylist() for c in ("qid", "qv", "bound"))
-            x = np.array([np.frombuffer(v, np.int64) for v in raw], float).reshape(len(raw), s.width)
-            d = s.query_distances(x)
-            squares = (x * x).sum(1)
-            for i in range(len(ids)):
-                options = [(abs((r + 0.5) * s.step - d[i, p]), p, int(r)) for p, rs in by_pivot.items() for r in rs[[int(np.abs((rs + 0.5) * s.step - d[i, p]).argmin())]]]
-                home = min(options)[1:]
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.array([np.frombuffer(v, np.int64) for v in part.column("qv").to_pylist()], float).reshape(part.num_rows, s.width)
+                bound = part.column("bound")
+                least = bound.fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+                radius = np.sqrt(np.maximum(s.top + (x * x).sum(1) - 2.0 * least, 0)) + s.slack()
+                radius[bound.is_null().to_numpy(zero_copy_only=False)] = np.inf
+                d = s.query_distances(x)[:, pivot]
+                home = np.abs((low + high) / 2 - d).argmin(1)
                 if first:
-                    out.append((*home, ids[i], raw[i], d[i, home[0]], None, None))
-                    continue
-                radius = np.inf if bounds[i] is None else np.sqrt(max(s.top + squares[i] - 2.0 * bounds[i], 0)) + s.slack()
-                for p, rs in by_pivot.items():
-                    reached = rs[(rs * s.step <= d[i, p] + radius) & (((rs + 1) * s.step >= d[i, p] - radius) | (rs == LAST_RING))]
-                    out += [(p, int(r), ids[i], raw[i], d[i, p], bounds[i], radius) for r in reached if (p, int(r)) != home]
-            columns = list(zip(*out, strict=True)) or [[] for _ in range(7)]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["pivot", "ring", "qid", "qv", "distance", "bound", "radius"])
+                    query, place = np.arange(part.num_rows), home
+                else:
+                    reached = np.maximum(low - d, d - high) <= radius[:, None] + s.slack()
+                    reached[np.arange(part.num_rows), home] = False
+                    query, place = np.nonzero(reached)
+                own = part.take(pa.array(query))
+                columns = [pa.array(pivot[place], pa.int32()), pa.array(ring[place], pa.int32()), own.column("qid"), own.column("qv"), pa.array(d[query, place]), own.column("bound"), pa.array(radius[query])]
+                yield pa.RecordBatch.from_arrays(columns, names=["pivot", "ring", "qid", "qv", "distance", "bound", "radius"])
 
     return queries.mapInArrow(run, _QUERY)
 
 
-def _visit(wanted: DataFrame, index: DataFrame, sizes: Column, shared, k: int) -> DataFrame:
+def _visit(wanted: DataFrame, index: DataFrame, annuli: DataFrame, shared, k: int) -> DataFrame:
     """The best k of each visited block for each query that the block can still help."""
-    # blocks of a ring go to sizes(pivot, ring) salted keys; each packet of queries to all of them
-    salt = F.pmod(F.xxhash64("low", "high", "n", "ids"), sizes)
-    dealt = index.withColumn("salt", salt)
     part = F.pmod(F.xxhash64("qid", "qv"), F.lit(1 << 16))
     packets = wanted.withColumn("part", F.floor(part / F.lit(1 << 12)))
-    member = F.struct("qid", "qv", "distance", "bound", "radius")
+    members = ["qid", "qv", "distance", "bound", "radius"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows to packets of at most PACKET_ROWS queries of one ring."""
-        names = ["pivot", "ring", "members"]
-
-        def packet(key, rows) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([rows], kind)], names=names)
-
-        kind = pa.list_(pa.struct([("qid", pa.int64()), ("qv", pa.binary()), ("distance", pa.float64()), ("bound", pa.int64()), ("radius", pa.float64())]))
-        key, rows = None, []
+        """Sorted rows to packets of at most PACKET_ROWS queries of one ring, with their reach."""
         for batch in batches:
-            for p, r, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if rows and ((p, r) != key or len(rows) >= PACKET_ROWS):
-                    yield packet(key, rows)
-                    rows = []
-                key = p, r
-                rows.append(m)
-        if rows:
-            yield packet(key, rows)
-
-    schema = "pivot int, ring int, members array<struct<qid:long,qv:binary,distance:double,bound:long,radius:double>>"
-    gathered = packets.repartition("pivot", "ring", "part").sortWithinPartitions("pivot", "ring").select("pivot", "ring", member.alias("m")).mapInArrow(packed, schema)
-    gathered = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), sizes.cast("bigint") - 1)))
+            if not batch.num_rows:
+                continue
+            pivot, ring, distance, radius = (batch.column(c).to_numpy() for c in ("pivot", "ring", "distance", "radius"))
+            runs = [0, *(np.flatnonzero((np.diff(pivot) != 0) | (np.diff(ring) != 0)) + 1), batch.num_rows]
+            begin = np.concatenate([np.arange(a, b, PACKET_ROWS) for a, b in zip(runs, runs[1:])])
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in members], members)
+            lists = pa.ListArray.from_arrays(pa.array([*begin, batch.num_rows], pa.int32()), rows)
+            reach = [pa.array(x) for x in (np.minimum.reduceat(distance - radius, begin), np.maximum.reduceat(distance + radius, begin))]
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[begin]), pa.array(ring[begin]), lists, *reach], names=["pivot", "ring", "members", "from", "to"])
+
+    schema = "pivot int, ring int, members array<struct<qid:long,qv:binary,distance:double,bound:long,radius:double>>, from double, to double"
+    gathered = packets.repartition("pivot", "ring", "part").sortWithinPartitions("pivot", "ring", "distance").select("pivot", "ring", *members).mapInArrow(packed, schema)
+    slack = shared.value.slack()
+    gathered = gathered.join(annuli, ["pivot", "ring"]).where((F.col("low") <= F.col("to") + slack) & (F.col("high") >= F.col("from") - slack))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         for batch in batches:
             found: list[tuple] = []
             for row in range(batch.num_rows):
-                members, low, high, ids, vectors = (batch.column(c)[row].as_py() for c in ("members", "low", "high", "ids", "vectors"))
-                slack = s.slack()
-                members = [m for m in members if m["radius"] is None or low - slack <= m["distance"] + m["radius"] and high + slack >= m["distance"] - m["radius"]]
-                if not members:
+                qid, qv, distance, bound, radius = batch.column("members")[row].values.flatten()
+                low, high, ids, vectors = (batch.column(c)[row].as_py() for c in ("low", "high", "ids", "vectors"))
+                distance, radius = distance.to_numpy(), radius.to_numpy() + s.slack()
+                near = np.flatnonzero((low <= distance + radius) & (high >= distance - radius))
+                if not len(near):
                     continue
                 own = np.frombuffer(ids, np.int64)
                 x = np.frombuffer(vectors, np.int64).reshape(-1, s.width).astype(np.float64)
-                q = np.array([np.frombuffer(m["qv"], np.int64) for m in members], float)
-                for m, scores in zip(members, _products(q, x), strict=True):
-                    open_ = own != m["qid"]
-                    if m["bound"] is not None:
-                        open_ &= scores >= m["bound"]
+                names, texts, bounds = (c.take(pa.array(near)).to_pylist() for c in (qid, qv, bound))
+                q = np.array([np.frombuffer(v, np.int64) for v in texts], float)
+                for name, text, least, scores in zip(names, texts, bounds, _products(q, x), strict=True):
+                    open_ = own != name
+                    if least is not None:
+                        open_ &= scores >= least
                     at = np.flatnonzero(open_)
                     at = at[best_of(scores[at], own[at], k)]
-                    found += [(m["qid"], m["qv"], int(own[j]), int(scores[j])) for j in at]
+                    found += [(name, text, int(own[j]), int(scores[j])) for j in at]
             columns = list(zip(*found, strict=True)) or [[] for _ in range(4)]
             types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "qv", "vec_id", "score"])
 
-    met = gathered.join(dealt, ["pivot", "ring", "salt"]).select("members", "low", "high", "ids", "vectors")
+    met = gathered.select("annulus", "members").join(index, "annulus").select("members", "low", "high", "ids", "vectors")
     return met.mapInArrow(search, _HIT)
 
 
@@ -281,10 +294,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     index, space = built
     shared = spark.sparkContext.broadcast(space)
-    held = index.groupBy("pivot", "ring").count().collect()  # pivots x rings rows
-    rings = [(r["pivot"], r["ring"]) for r in held]
-    many = F.create_map(*[F.lit(x) for r in held for x in (r["pivot"] * 1_000_000 + r["ring"], -(-r["count"] // BLOCKS_PER_KEY))])
-    sizes = F.element_at(many, F.col("pivot") * 1_000_000 + F.col("ring"))
+    annuli = stored(index.groupBy("pivot", "ring", "annulus").agg(F.min("low").alias("low"), F.max("high").alias("high")), "topk-annuli", into=tables)
+    held = annuli.groupBy("pivot", "ring").agg(F.min("low"), F.max("high"))
+    rings = [tuple(r) for r in held.orderBy("pivot", "ring").collect()]  # at most pivots x (LAST_RING + 1) rows
 
     queries = rows.where(is_query)
     width = space.width
@@ -297,12 +309,12 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id",
     # equal query rows ask once; their results count as often as they are there
     times = queries.mapInArrow(wide, "qid long, qv binary").groupBy("qid", "qv").agg(F.count("*").alias("times"))
     asked = stored(times.withColumn("bound", F.lit(None).cast("long")), "topk-queries", into=tables)
-    seeds = stored(_visit(_expand(asked, shared, rings, True), index, sizes, shared, k), "topk-seeds", MEETING_ROWS, tables)
+    seeds = stored(_visit(_expand(asked, shared, rings, True), index, annuli, shared, k), "topk-seeds", MEETING_ROWS, tables)
     best = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
     ranked = seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), "qv", F.col("score").alias("bound"))
     bounded = asked.select("qid", "qv").join(bounds, ["qid", "qv"], "left")
-    rest = stored(_visit(_expand(bounded, shared, rings, False), index, sizes, shared, k), "topk-rest", MEETING_ROWS, tables)
+    rest = stored(_visit(_expand(bounded, shared, rings, False), index, annuli, shared, k), "topk-rest", MEETING_ROWS, tables)
     found = ranked.drop("rank").unionByName(rest)
     again = asked.where("times > 1").select(F.col("qid").alias("query_id"), "qv", F.least("times", F.lit(k)).alias("times"))
     more = found.join(again, ["query_id", "qv"]).withColumn("nth", F.explode(F.sequence(F.lit(2).cast("long"), "times"))).select(found.columns)

@@ -22,8 +22,8 @@ def test_query(same_as_sql):
     same_as_sql(Q.QUERIES["op3_pivot_distance"], Q.SQL["op3_pivot_distance"])
 
 
-@pytest.mark.parametrize("block_rows,pivots,rings", [(7, 3, 4), (2048, 16, 8)])
-def test_against_brute_force(spark, block_rows, pivots, rings):
+@pytest.mark.parametrize("block_rows,pivots,rings,blocks_per_key", [(7, 3, 4, 64), (5, 20, 48, 2), (2048, None, None, 64)])
+def test_against_brute_force(spark, block_rows, pivots, rings, blocks_per_key):
     draw = np.random.default_rng(block_rows)
     centres = draw.normal(0, 1, (5, 6))
     rows = [(i, (centres[i % 5] + draw.normal(0, 0.2, 6)).astype(np.float32).tolist()) for i in range(300)]
@@ -31,7 +31,7 @@ def test_against_brute_force(spark, block_rows, pivots, rings):
     rows += [(600 + i, (draw.normal(0, 40 * (i + 1), 6)).astype(np.float32).tolist()) for i in range(30)]  # outliers
     rows += [rows[3], rows[3], (400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (None, [1.0] * 6), (405, [0.25, -0.5])]
     table = spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<float>, id string, score int")
-    got = topk.search(table, F.col("id") % 20 == 0, 10, block_rows=block_rows, pivots=pivots, rings=rings, sample_rows=50)
+    got = topk.search(table, F.col("id") % 20 == 0, 10, block_rows=block_rows, pivots=pivots, rings=rings, blocks_per_key=blocks_per_key, sample_rows=50)
     assert sorted(map(tuple, got.collect())) == brute(rows, 10, lambda i: i % 20 == 0)
 
 
@@ -58,6 +58,26 @@ def test_few_and_none(spark):
     assert topk.search(few.where("vec_id = 0"), F.col("id") == 0, 10).count() == 0
 
 
+def test_annuli_are_neighbouring_blocks_of_bounded_number(spark):
+    """Also where one vector is most rows; a ring's annuli follow each other in distance."""
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(0, 1, 4).tolist() if i % 3 else [0.5] * 4) for i in range(900)]
+    vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    tables = []
+    index, _ = topk.build(vectors, block_rows=10, blocks_per_key=3, pivots=4, rings=4, into=tables)
+    got = index.groupBy("annulus").agg(F.count("*").alias("blocks"), F.count_distinct("pivot", "ring").alias("keys"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("pivot").alias("pivot"), F.sum("n").alias("n")).orderBy("annulus").collect()
+    assert sum(r["n"] for r in got) == 900 and max(r["blocks"] for r in got) == 3 and all(r["keys"] == 1 for r in got)
+    for a, b in zip(got, got[1:]):
+        assert (a["pivot"], a["high"]) <= (b["pivot"], b["low"])
+    topk.discard(spark, tables)
+
+
+def test_grid_follows_the_rows():
+    assert topk.grid(1000) == (16, 8)
+    assert topk.grid(10**9) == (64, 48) and topk.grid(10**7) == (64, 8)
+    assert topk.grid(10**8) == (64, 11)
+
+
 def test_large_integers():
     a, b = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 3.0]])
     assert topk._products(a, b).tolist() == [[2**60 + 3]]
