@@ -8,7 +8,8 @@ record, and with `records_per_file` every file, is of bounded size. The files ar
 
 Reading: records are cut by their Content-Length. Continuations are grouped by the id of
 their origin and ordered by segment number; numbers without gap, the total length of the last
-segment, the chunk framing and the payload digest are verified (`valid`).
+segment, the chunk framing and the payload digest are verified (`valid`). A revisit is valid if
+the response that it refers to is there, valid, and of the digest and length that it states.
 
 Null html is an empty payload, a null url gives a record without target; null page ids come
 back as null and count as the largest. Repeated rows are records each, of equal ones the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batches_of
+from tessera.llm.common import batches_of, discard, stored
 
 REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 100, 16 << 10, 4096, 4096
 #: Pages that Python gets at once; they may be large.
@@ -201,32 +202,34 @@ def reassembled(segments: DataFrame) -> DataFrame:
 _PAGE = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.StringType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("valid", T.BooleanType()),
+    T.StructField("record_id", T.StringType()), T.StructField("refers_id", T.StringType()),
 ])
+#: What a revisit states of its response.
+_STATED = ["refers_id", "payload_bytes", "payload_digest"]
 
 
 def _page(record_id, uri, kind, refers_to, stated, block, whole) -> tuple:
-    """key, uri, type, key of the response, bytes, digest, validity, payload (None of a revisit)."""
+    """A row of _PAGE and the payload (None of a revisit)."""
     key_of = lambda x: None if x is None or (k := x[1:-1].split(":")[2]) == "null" else k
     stated = (stated or "").removeprefix("sha256:")
     head, _, body = block.partition(_END)
     headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode("latin-1").split("\r\n")[1:])}
     if kind == "revisit":
         size = headers.get("content-length", "")
-        return key_of(record_id), uri, kind, key_of(refers_to), int(size) if size.isdigit() else None, stated, bool(size.isdigit() and whole), None
+        return key_of(record_id), uri, kind, key_of(refers_to), int(size) if size.isdigit() else None, stated, bool(size.isdigit() and whole), record_id, refers_to or "", None
     payload = dechunk(body) if headers.get("transfer-encoding", "").lower() == "chunked" else body
     if payload is None:
-        return key_of(record_id), uri, kind, None, None, None, False, None
+        return key_of(record_id), uri, kind, None, None, None, False, record_id, None, None
     digest = hashlib.sha256(payload).hexdigest()
-    return key_of(record_id), uri, kind, None, len(payload), digest, bool(whole and digest == stated), payload
+    return key_of(record_id), uri, kind, None, len(payload), digest, bool(whole and digest == stated), record_id, None, payload
 
 
-def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """A row for each page of an archive: key (text), uri, record_type, refers_to, payload_bytes,
-    payload_digest, valid and, if asked for, payload (binary; null of a revisit)."""
+def _pages(spark: SparkSession, path: str, payload: bool) -> DataFrame:
+    """The pages of an archive, each checked for itself."""
     schema = T.StructType([*_PAGE.fields, *([T.StructField("payload", T.BinaryType())] if payload else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()][: len(schema)]
+        kinds = [*[pa.string()] * 4, pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.binary()][: len(schema)]
         for batch in batches:
             rows = [_page(*(batch.column(c)[i].as_py() for c in range(7)))[: len(schema)] for i in range(batch.num_rows)]
             columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
@@ -234,3 +237,24 @@ def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
 
     single = records(spark, path, segmented=False).select(*_RAW.names[:5], "block", F.lit(True).alias("whole"))
     return single.unionByName(reassembled(records(spark, path, segmented=True))).mapInArrow(run, schema)
+
+
+def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
+    """A row for each page of an archive: key (text), uri, record_type, refers_to, payload_bytes,
+    payload_digest, valid and, if asked for, payload (binary; null of a revisit)."""
+    used: list[str] = []
+    found = stored(_pages(spark, path, False), "warc-pages", into=used)
+    sound = found.where("record_type = 'response' AND valid").select(F.col("record_id").alias("refers_id"), *_STATED[1:])
+    # what revisits state is few distinct rows, and hardly ever is any of it wrong
+    stated = found.where("record_type = 'revisit' AND valid").select(_STATED).distinct()
+    wrong = stored(stated.join(sound, _STATED, "left_anti"), "warc-wrong", into=used)
+    none_wrong = wrong.isEmpty()
+    if payload:
+        discard(spark, used[:1])
+        found = _pages(spark, path, True)
+    names = [c for c in found.columns if c not in ("record_id", "refers_id")]
+    if none_wrong:
+        discard(spark, used[1:])
+        return found.select(names)
+    marked = found.join(wrong.withColumn("wrong", F.lit(True)), _STATED, "left")
+    return marked.withColumn("valid", F.col("valid") & F.col("wrong").isNull()).select(names)

@@ -49,6 +49,21 @@ def test_broken_segments(spark):
     assert rows["1"]["whole"] and bytes(rows["1"]["block"]) == block and not rows["2"]["whole"] and not rows["3"]["whole"]
 
 
+def test_revisits_of_broken_responses(spark, tmp_path):
+    """A revisit whose response is missing, damaged or another one is not valid."""
+    import hashlib
+
+    good, bad = b"z" * 400, b"y" * 300
+    name = lambda b: hashlib.sha256(b).hexdigest()
+    made = [(1, good, name(good), None), (2, good, name(good), (1, 1)), (3, good, name(good), (99, 99)), (4, bad, name(good), None), (5, bad, name(good), (4, 4)), (6, bad, name(bad), (1, 1)), (7, good, name(good), (2, 2))]
+    parts = [r for i, body, digest, first in made for r in warc.records_of(i, f"u{i}", body, i, digest, first, 1 << 20, "2026-01-01T00:00:00Z")]
+    (tmp_path / "part-0").write_bytes(b"".join(p + b"\r\n\r\n" for p in parts))
+    for payload in (False, True):
+        got = {int(r["key"]): r for r in warc.read(spark, str(tmp_path), payload=payload).collect()}
+        assert {k: r["valid"] for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+    assert bytes(got[1]["payload"]) == good and got[2]["payload"] is None
+
+
 @pytest.mark.parametrize("body,want", [(b"3\r\nabc\r\n0\r\n\r\n", b"abc"), (b"3;x=y\r\nabc\r\n2\r\nde\r\n0\r\nT: v\r\n\r\n", b"abcde"), (b"0\r\n\r\n", b""), (b"5\r\nabc\r\n0\r\n\r\n", None), (b"zz\r\n", None), (b"", None)])
 def test_dechunk(body, want):
     assert warc.dechunk(body) == want
