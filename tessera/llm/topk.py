@@ -231,8 +231,6 @@ def _expand(queries: DataFrame, shared, rings: list[tuple[int, int, float, float
 
 def _visit(wanted: DataFrame, index: DataFrame, annuli: DataFrame, shared, k: int) -> DataFrame:
     """The best k of each visited block for each query that the block can still help."""
-    part = F.pmod(F.xxhash64("qid", "qv"), F.lit(1 << 16))
-    packets = wanted.withColumn("part", F.floor(part / F.lit(1 << 12)))
     members = ["qid", "qv", "distance", "bound", "radius"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +247,8 @@ def _visit(wanted: DataFrame, index: DataFrame, annuli: DataFrame, shared, k: in
             yield pa.RecordBatch.from_arrays([pa.array(pivot[begin]), pa.array(ring[begin]), lists, *reach], names=["pivot", "ring", "members", "from", "to"])
 
     schema = "pivot int, ring int, members array<struct<qid:long,qv:binary,distance:double,bound:long,radius:double>>, from double, to double"
-    gathered = packets.repartition("pivot", "ring", "part").sortWithinPartitions("pivot", "ring", "distance").select("pivot", "ring", *members).mapInArrow(packed, schema)
+    order = ["pivot", "ring", "distance", "qid", "qv"]  # by range, so the queries of a hot ring lie in many tasks and packets are full
+    gathered = wanted.repartitionByRange(*order).sortWithinPartitions(*order).select("pivot", "ring", *members).mapInArrow(packed, schema)
     slack = shared.value.slack()
     gathered = gathered.join(annuli, ["pivot", "ring"]).where((F.col("low") <= F.col("to") + slack) & (F.col("high") >= F.col("from") - slack))
 
