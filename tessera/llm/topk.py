@@ -198,6 +198,19 @@ _QUERY = "pivot int, ring int, qid long, qv binary, distance double, bound long,
 _HIT = "query_id long, qv binary, vec_id long, score long"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least so many, but for the last; Spark's own may be tiny here."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _expand(queries: DataFrame, shared, rings: list[tuple[int, int, float, float]], first: bool) -> DataFrame:
     """(pivot, ring) to visit for each query (qid, qv, bound): its home at first, and then all
     others that its radius reaches. `rings`: those that hold vectors, with their distances."""
@@ -235,9 +248,7 @@ def _visit(wanted: DataFrame, index: DataFrame, annuli: DataFrame, shared, k: in
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows to packets of at most PACKET_ROWS queries of one ring, with their reach."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches, 16 * PACKET_ROWS):
             pivot, ring, distance, radius = (batch.column(c).to_numpy() for c in ("pivot", "ring", "distance", "radius"))
             runs = [0, *(np.flatnonzero((np.diff(pivot) != 0) | (np.diff(ring) != 0)) + 1), batch.num_rows]
             begin = np.concatenate([np.arange(a, b, PACKET_ROWS) for a, b in zip(runs, runs[1:])])
