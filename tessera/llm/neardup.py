@@ -16,7 +16,8 @@ connected component of links. The steps:
    before, each pair once.
 
 So links are found without listing the pairs of a group, and classes are those of all links.
-Buckets are dealt over salted keys by their size, so no join sends one to a single task.
+Buckets are dealt over salted keys by their size, so no join sends one to a single task; nor
+does one with the pairs of one hub, the rows of one text or those of one class.
 
 A null text is an empty one. Documents without words are equal if their texts are. Rows with a
 null id are classified too, and a class of such rows alone has a null id. Rows that repeat an
@@ -43,6 +44,9 @@ SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 48
 HUB_SAMPLE, PACKET, MEMBERS_PER_SALT = 64, 256, 512
 #: Parts of every key before sizes are known.
 SPREAD = 8
+#: A key is hot if it has more than one in so many rows, so fewer keys than this are, and more
+#: rows than MEMBERS_PER_SALT.
+HOT = 1024
 #: Rows that Python gets at once where a row holds two packets, two multisets, or a text.
 PACKET_ROWS, BAG_ROWS, TEXT_ROWS = 16, 512, 2000
 #: Bits of the filter that keeps unneeded texts from the shuffle: 8 for each document wanted, within these.
@@ -198,10 +202,31 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / most if most else 1.0
 
 
+def _hot(counts: DataFrame, rows: int) -> DataFrame:
+    """Of counts, a row with n for each key, those of the hot keys: fewer than HOT, so broadcast."""
+    return F.broadcast(counts.where(F.col("n") > max(MEMBERS_PER_SALT, rows // HOT)))
+
+
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Of `total` rows those whose keys `table` has, joined with its one row of them. That says in
+    n how many rows there are; rows of hot keys are not shuffled."""
+    hot = _hot(table, total)
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(table, keys)
+    return rows.join(hot, keys).unionByName(others).drop("n")
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose multisets are similar enough."""
-    left = bags.select(F.col("node").alias("u"), F.col("grams").alias("gu"), F.col("counts").alias("cu"))
-    right = bags.select(F.col("node").alias("v"), F.col("grams").alias("gv"), F.col("counts").alias("cv"))
+    """The pairs (u, v), of a stored table, whose multisets are similar enough. The pairs of a hot
+    node are dealt over as many copies of its multiset as they need."""
+    total = pairs.count()
+    parts = F.coalesce(F.ceil(F.col("n") / MEMBERS_PER_SALT), F.lit(1).cast("long"))
+    sides = []
+    for x, other in ("uv", "vu"):
+        hot = _hot(pairs.groupBy(x).agg(F.count("*").alias("n")), total)
+        own = bags.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"), F.col("counts").alias(f"c{x}")).join(hot, x, "left")
+        sides.append(own.withColumn(f"s{x}", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n"))
+        pairs = pairs.join(hot, x, "left").withColumn(f"s{x}", F.pmod(F.xxhash64(other), parts)).drop("n")
+    left, right = sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +238,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "cu", "gv", "cv")
+    joined = pairs.join(left, ["u", "su"]).join(right, ["v", "sv"]).select("u", "v", "gu", "cu", "gv", "cv")
     return joined.mapInArrow(run, "u long, v long")
 
 
@@ -297,7 +322,7 @@ def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY
     tables: list[str] = []
     kept = partial(stored, into=tables)
     rows = kept(_signed(docs, key, text, digests).withColumn("row", F.monotonically_increasing_id()), "neardup-signed", TEXT_ROWS)
-    nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("weight", "bands", "profile")])
+    nodes = rows.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("weight", "bands", "profile")])
     nodes = kept(nodes, "neardup-nodes")
     band_rows = _band_rows(nodes)
     shared = band_rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -309,7 +334,7 @@ def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY
     bags = kept(_bags(docs, in_buckets, key, text), "neardup-bags", TEXT_ROWS)
 
     pairs = members.join(_for_each_salt(hubs), ["key", "salt"]).where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    links = kept(_verified(pairs, bags, threshold), "neardup-links", BAG_ROWS)
+    links = kept(_verified(kept(pairs, "neardup-pairs"), bags, threshold), "neardup-links", BAG_ROWS)
     label = kept(components(links, tables), "neardup-labels")
 
     named = in_buckets.select("node", "weight", "profile", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -325,10 +350,11 @@ def _classed(docs: DataFrame, key: str, text: str, threshold: float = SIMILARITY
         label = components(edges, tables)
     label = label.withColumnRenamed("label", "class")
 
-    classed = nodes.select("node", "id", "f1", "f2").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = classed.groupBy("class").agg(F.min("id").alias("class_id"))
-    named_nodes = classed.join(least, "class").select("f1", "f2", F.col("id").alias("text_class"), "class_id", *(["class"] if digests else []))
-    out = rows.select("id", "f1", "f2", *extra).join(named_nodes, ["f1", "f2"])
+    classed = nodes.select("node", "id", "f1", "f2", "n").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    classed = kept(classed.withColumnsRenamed({"id": "text_class", "n": "rows"}), "neardup-classed")
+    least = classed.groupBy("class").agg(F.min("text_class").alias("class_id"), F.count("*").alias("n"))
+    named_nodes = _joined(classed, least, ["class"], classed.count()).select("f1", "f2", "text_class", "class_id", "class", F.col("rows").alias("n"))
+    out = _joined(rows.select("id", "f1", "f2", *extra), named_nodes, ["f1", "f2"], rows.count())
     out = out.select(*extra, "class", "id") if digests else out.select(F.col("id").alias(key), "class_id", "text_class")
     out = stored(out, "neardup-classes")
     discard(docs.sparkSession, tables)
@@ -342,7 +368,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     found = _classed(docs, key, text, digests=True, **options)
     rows = found.select("class", F.col("id").isNull().alias("unnamed"), F.struct("id", "d1", "d2").alias("row"))
     least = rows.groupBy("class", "unnamed").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = rows.join(least, ["class", "unnamed"])
+    met = _joined(rows, least, ["class", "unnamed"], rows.count())
     dropped = met.where(F.col("row") != F.col("least")).select("row.*").distinct()
     names = {"id": "__id", "d1": "__d1", "d2": "__d2"}
     own = {"__id": F.col(key).cast("long"), **{f"__{name}": c for name, c in _digests(text).items()}}

@@ -135,6 +135,18 @@ def test_hot_bucket_of_unlinked_texts(frame, monkeypatch):
     assert classes(frame(rows)) == brute(rows)
 
 
+def test_hot_keys_of_joins(frame, monkeypatch):
+    """One text of many rows, one class of many texts and its hub, all above the limit."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(i, " ".join(words)) for i in range(40)] + [(40 + i, " ".join([*words, f"x{i}"])) for i in range(40)]
+    rows += [(80 + i, " ".join(f"y{rng.randrange(4000)}" for _ in range(60))) for i in range(20)] + [(None, " ".join(words))] * 3
+    monkeypatch.setattr(N, "MEMBERS_PER_SALT", 4)
+    assert classes(frame(rows)) == brute(rows)
+    kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in N.deduplicate(frame(rows)).select("doc_id").collect())
+    assert kept == [(False, 0), *[(False, 80 + i) for i in range(20)], (True, None)]
+
+
 def test_recall_of_edited_copies(frame):
     """What the similarity of 0.8 on five words means for copies with a share of words replaced:
     all with up to 2 %, few with 4 % and more."""
