@@ -72,9 +72,13 @@ def hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, longer_t
 
 
 def sampled_signal(field: tuple[str, ...], s1: DataFrame, targets: DataFrame, truth: DataFrame, fraction: float = 0.1, heavy: int = 100_000) -> DataFrame:
-    """A signal within countries on a sample of S1, without very frequent keys, scaled up."""
+    """A signal within countries on a sample of S1, without very frequent keys, scaled up.
+
+    Keys are frequent by the first field alone, over targets whose other fields are blank too;
+    a blank in any field matches nothing."""
     sample = hash_sample(s1, "entity_id", fraction)
     left, right = without_heavy_keys(filled(sample, field[:1]), filled(targets, field[:1]), field[0], heavy)
+    left, right = filled(left, field[1:]), filled(right, field[1:])
     keys = ["country", *field]
     pairs = left.select(F.col("entity_id").alias("s1_id"), *keys).join(right.select(F.col("entity_id").alias("target_id"), *keys), keys).select("s1_id", "target_id")
     known = truth.join(sample.select(F.col("entity_id").alias("source1_entity_id")), "source1_entity_id", "left_semi")

@@ -55,6 +55,32 @@ def test_null_and_empty_countries_match_as_joins_do(spark):
         assert not signal.blocked or not {"S1-0", "S1-3"} & {r[0] for r in want}
 
 
+def test_sampled_signals_of_blank_addresses_equal_sql(spark, tmp_path):
+    """Texts of up to 40 characters have no address, and two blanks are no match."""
+    import duckdb
+
+    texts = ["a short name", "another short name", "a name of more than forty characters and an address"]
+    rows = [(i, texts[i // 3 % 3], "en") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(plans.oracle()["sampled_signals"]).fetchall()
+    assert sorted(map(tuple, plans.queries()["sampled_signals"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_sampled_signal_counts_heavy_keys_by_the_first_field(spark):
+    """Targets without an address count towards a heavy name, though they match nothing."""
+    from tessera.operators import hardneg
+
+    kind = "entity_id string, country string, norm_name string, norm_addr string"
+    s1 = spark.createDataFrame([("S1-1", "en", "a", "x"), ("S1-2", "en", "a", ""), ("S1-3", "en", "b", "")], kind)
+    targets = spark.createDataFrame([("S2-1", "en", "a", "x"), ("S2-2", "en", "a", ""), ("S2-3", "en", "b", ""), ("S2-4", "en", "b", None)], kind)
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-2")], "source1_entity_id string, target_entity_id string")
+    found = lambda heavy: hardneg.sampled_signal(("norm_name", "norm_addr"), s1, targets, truth, 0.999999, heavy).first()
+    assert tuple(found(2))[1:7] == (1, 1, 0, 1, 1.0, 0.5)
+    assert tuple(found(1))[1:7] == (0, 0, 0, 2, 0.0, 0.0)
+
+
 def test_split_of_a_hot_stratum_and_null_ids(spark):
     from tessera.operators.split import stratified_split
 
